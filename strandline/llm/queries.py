@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import sentences
+from strandline.llm import nearcopies, sentences
 from strandline.session import table
 
 
@@ -12,5 +13,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.evidence_sentences(table(spark, sf_dir, "evidence"))
 
 
-QUERIES = {"p2_found": p2_found}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = nearcopies.claim_and_evidence_records(table(spark, sf_dir, "atomic_claims"), table(spark, sf_dir, "evidence"))
+    name = F.when(F.col("tab") == 0, "atomic_claims").otherwise("evidence")
+    return nearcopies.similar_pairs(records).select(name.alias("record_table"), "id_a", "id_b")
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
 SQL: dict[str, str] = {}
