@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import nearcopies, sentences
+from strandline.llm import names, nearcopies, sentences
 from strandline.session import table
 
 
@@ -19,5 +19,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.similar_pairs(records).select(name.alias("record_table"), "id_a", "id_b")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda name: table(spark, sf_dir, name)
+    return names.linked_records(read("rita_entities"), read("atomic_claims"), read("canonical_nodes"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
 SQL: dict[str, str] = {}
