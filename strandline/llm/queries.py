@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import names, nearcopies, sentences
+from strandline.llm import names, nearcopies, pages, sentences
 from strandline.session import table
 
 
@@ -24,5 +24,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.linked_records(read("rita_entities"), read("atomic_claims"), read("canonical_nodes"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.residue_pages(table(spark, sf_dir, "crawl_results")).select("crawl_id").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
 SQL: dict[str, str] = {}
