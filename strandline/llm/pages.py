@@ -85,7 +85,7 @@ _SITE = re.compile(r"[^\W\d_]{3,}")
 
 
 def masker(host: str):
-    """Normalises a line: digits and the name of the site give way to marks, case and blanks don't count."""
+    """Normalises a line: the name of the site gives way to a mark; case, accents and blanks don't count."""
     words = [w for w in _SITE.findall(host.lower().removeprefix("www.").split(".")[0])]
     site = re.compile(r"\b" + re.escape(words[0]) + r"\b(?: [A-Z][\w’-]*)*", re.I) if words else None
 
@@ -93,7 +93,7 @@ def masker(host: str):
         text = fold(text)
         if site:
             text = site.sub("§", text)
-        return re.sub(r"\d+", "0", " ".join(text.lower().split()))
+        return " ".join(text.lower().split())
 
     return mask
 
@@ -126,7 +126,7 @@ def sentence_like(text: str) -> bool:
 
 #: A line recurs on a host if it is on this share of the host's pages, and on three at least; anywhere,
 #: if it is on this share of all pages, and on four at least.
-HOST_SHARE, ALL_SHARE, LEAST_HOST, LEAST_ALL = 0.05, 0.0025, 3, 4
+HOST_SHARE, ALL_SHARE, LEAST_HOST, LEAST_ALL = 0.05, 0.004, 3, 4
 
 
 def host_of(url: Column) -> Column:

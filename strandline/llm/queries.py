@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import names, nearcopies, pages, sentences
+from strandline.llm import boilerplate, names, nearcopies, pages, sentences
 from strandline.session import table
 
 
@@ -28,5 +28,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.residue_pages(table(spark, sf_dir, "crawl_results")).select("crawl_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.article_lines(table(spark, sf_dir, "crawl_results"), table(spark, sf_dir, "evidence"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
