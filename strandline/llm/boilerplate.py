@@ -43,8 +43,7 @@ def scores(lines: list, title: str, mask, recurrent: set[int], everywhere: dict[
         everywhere_after = everywhere.get(k)
         s = 0.0
         heading = tail_heading(text)
-        if heading and (everywhere_after is None or everywhere_after < 0.4):
-            tail = True
+        tail = tail or heading
         if x.code:
             s -= 20
         if ELEMENTS.intersection(x.tags) or CLASSES.intersection(x.marks.replace("-", " ").split()):
