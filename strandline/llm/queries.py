@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import boilerplate, names, nearcopies, pages, sentences
+from strandline.llm import boilerplate, mixing, names, nearcopies, packing, pages, sentences
 from strandline.session import table
 
 
@@ -32,5 +32,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.article_lines(table(spark, sf_dir, "crawl_results"), table(spark, sf_dir, "evidence"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
+
+
+def p8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "canonical_nodes"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.reached_shares(p8_mixing(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packing": p7_packing, "p8_mixing": p8_mixing, "p8_shares": p8_shares}
 SQL: dict[str, str] = {}
