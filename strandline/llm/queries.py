@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import boilerplate, mixing, names, nearcopies, packing, pages, sentences
+from strandline.llm import boilerplate, languages, mixing, names, nearcopies, packing, pages, sentences
 from strandline.session import table
 
 
@@ -44,5 +44,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached_shares(p8_mixing(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packing": p7_packing, "p8_mixing": p8_mixing, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.wrong_or_mixed(languages.language_segments(table(spark, sf_dir, "documents")))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.language_segments(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packing": p7_packing, "p8_mixing": p8_mixing, "p8_shares": p8_shares, "p9_found": p9_found, "p9_segments": p9_segments}
 SQL: dict[str, str] = {}

@@ -174,7 +174,8 @@ def _full_stop(text: str, start: int, after: int) -> bool:
         if bare in GOES_ON_SET and (len(bare) > 1 or last.islower() is False or follows == "digit" or bare in ("v", "p", "т", "п", "д")):
             return False
         if bare in MAY_END_SET or tail in MAY_END_SET:
-            return blank and follows in ("upper", "digit", "caseless", "other")
+            # in a text in capitals what follows doesn't tell
+            return (not last.isupper() or "." in last or tail == "uu") and blank and follows in ("upper", "digit", "caseless", "other")
         if tail in GOES_ON_SET and len(tail) > 1:
             return False
         if len(tail) == 1 and "." in bare:
