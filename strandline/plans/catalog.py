@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandline.plans import snapshot_queries
+from strandline.plans import graph_queries, snapshot_queries, text_queries
 
-FLAGSHIP = "p1_found"
+FLAGSHIP = "distinct_usable_pages"
 
-QUERIES = {**snapshot_queries.QUERIES}
-SQL = {**snapshot_queries.SQL}
+_MODULES = (snapshot_queries, text_queries, graph_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: f for m in _MODULES for name, f in m.SQL.items()}
