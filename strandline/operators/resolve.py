@@ -79,9 +79,9 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def fuzzy(mentions: DataFrame, nodes: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(mention, uid, score): registered names at least so similar to a mention's normal form.
 
-    Compared are pairs that share one of the rarest three fifths of either name's trigrams, and whose
+    Compared are pairs that share one of the rarest two fifths of either name's trigrams, and whose
     lengths allow the threshold: 2 * min / (a + b) >= threshold. Two names of that ratio whose common
-    trigrams are all among the commonest two fifths of one of them are not found. Names of fewer than
+    trigrams are all among the commonest three fifths of one of them are not found. Names of fewer than
     four characters are left to ``resolve``.
     """
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, 3)))
@@ -92,9 +92,11 @@ def fuzzy(mentions: DataFrame, nodes: DataFrame, threshold: float = 0.85) -> Dat
 
     def prefix(x: DataFrame, name: str) -> DataFrame:
         ranked = x.join(rare, "g", "left").withColumn("r", F.row_number().over(Window.partitionBy(name).orderBy(F.coalesce("df", F.lit(0)), "g"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(name)))
-        return ranked.where("r <= ceil(0.6 * n)").select(name, "g")
+        return ranked.where("r <= ceil(0.4 * n)").select(name, "g")
 
     pairs = prefix(gl, "a").join(prefix(gr, "b"), "g").select("a", "b").distinct()
     la, lb = F.length("a"), F.length("b")
-    pairs = pairs.where(2 * F.least(la, lb) / (la + lb) >= threshold).withColumn("score", ratio("a", "b")).where(F.col("score") >= threshold)
+    # the blocks that don't match are at least the edit distance, so no pair of the ratio is lost here
+    near = F.levenshtein("a", "b") <= (1 - threshold) * (la + lb)
+    pairs = pairs.where((2 * F.least(la, lb) / (la + lb) >= threshold) & near).withColumn("score", ratio("a", "b")).where(F.col("score") >= threshold)
     return left.join(pairs, "a").join(right, "b").groupBy("mention", "uid").agg(F.max("score").alias("score"))
