@@ -67,6 +67,8 @@ def scores(lines: list, title: str, mask, recurrent: set[int], everywhere: dict[
             s -= 4
         if text.rstrip().endswith((" >", "›")):
             s -= 4
+        if mask(text) == "§":  # the site's name and nothing else
+            s -= 4
         if _COPYRIGHT.match(text):
             s -= 5
         before, colon, _ = text.replace("：", ":").partition(":")

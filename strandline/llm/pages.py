@@ -124,9 +124,9 @@ def sentence_like(text: str) -> bool:
 # ---------------------------------------------------------------------------------------------
 # Recurrent lines.
 
-#: A line recurs on a host if it is on this share of the host's pages, and on three at least; anywhere,
-#: if it is on this share of all pages, and on four at least.
-HOST_SHARE, ALL_SHARE, LEAST_HOST, LEAST_ALL = 0.05, 0.004, 3, 4
+#: A line recurs on a host if it is on this share of the host's pages, and on four at least; anywhere,
+#: if it is on this share of all pages, and on eight at least.
+HOST_SHARE, ALL_SHARE, LEAST_HOST, LEAST_ALL = 0.05, 0.004, 4, 8
 
 
 def host_of(url: Column) -> Column:
@@ -269,7 +269,7 @@ def residue(title: str | None, content: str | None, recurrent: set[int], everywh
     if not lines:
         return None
     head = next((x for x in lines if "h1" in x.tags), lines[0])
-    if 6 < len(head.text) < 60 and DEFAULT_TITLE.match(head.text) and not _SITE_WORD.match(head.text):
+    if 6 < len(head.text) < 60 and not filler(head.text) and DEFAULT_TITLE.match(head.text) and not _SITE_WORD.match(head.text):
         return "title"
     article, told, fill, tail = 0, 0, 0, False
     for x in lines:
