@@ -24,9 +24,9 @@ mr mrs ms dr prof st gen col capt lt sgt rev hon pres gov sen rep eng ing arch f
 no nos nr num núm art arts sec secs fig figs vol vols pp p par para paras ch chap ref refs ed eds cf e.g i.e eg ie vs v approx
 incl excl esp viz dept mt ft ave av blvd rd sq gen.-secr
 jan feb mar apr jun jul aug sep sept oct nov dec
-mme mlle mm env ex p.ex c.-à-d réf chap éd n°
+mme mlle mm env h ex p.ex c.-à-d réf chap éd n°
 ee sr sra srta dra d dña dn ud uds exmo exma ilmo ilma aprox apdo pág págs tel cap eng.º
-z.b d.h u.a z.t bzw ca vgl abb abs bd hr fr str dipl.-ing bzgl ggf inkl evtl sog tab kap anm
+mio mrd z.b d.h u.a z.t bzw ca vgl abb abs bd hr fr str dipl.-ing bzgl ggf inkl evtl sog tab kap anm
 dkt bw bi na uk k.m yaani taz mh
 напр т.е т.к т.н им ул пр д рис стр табл гл ст п пп проф акад см ср г-н г-жа тел обл р-н
 डॉ सं श्री श्रीमती प्रो पृ क्र रु
@@ -36,7 +36,7 @@ dkt bw bi na uk k.m yaani taz mh
 # Abbreviations that may end a sentence; what follows decides.
 MAY_END = """
 etc al ltd co corp inc plc bros jr sr esq a.m p.m hrs hr u.s u.k u.n e.u
-usw u.s.w mio mrd
+usw u.s.w
 ee.uu uu
 n.k
 г гг млн млрд долл руб тыс др пр т.д т.п
@@ -75,6 +75,7 @@ _MONTH = re.compile(r"\s+(?:" + MONTH_AFTER + r")\b", re.I)
 _SPEECH = re.compile(SPEECH, re.I)
 _THAI_ON = re.compile(r"(?:" + THAI_GOES_ON + r")")
 _THAI_NUMBER = re.compile(r"[฀-๿]\s*(?:19|20|24|25|26)\d\d$|ร้อยละ\s*[\d.,]+$")
+_SHORT_AFTER = re.compile(r"\s*[^\W\d_]{1,2}\.")
 _YEAR_BEFORE = re.compile(r"[^\W\d_]{2,} (?:19|20)\d\d$")
 _UNIT_BEFORE = re.compile(r"\d[^\W\d_]{1,3}$")
 _CUT_OFF = re.compile(r"[^.!?…]*(?:\b[^\W\d_]{1,4}\.[^.!?…]*){0,5}(?:…|\.\.\.)$")
@@ -178,6 +179,8 @@ def _full_stop(text: str, start: int, after: int) -> bool:
             return (not last.isupper() or "." in last or tail == "uu") and blank and follows in ("upper", "digit", "caseless", "other")
         if tail in GOES_ON_SET and len(tail) > 1:
             return False
+        if len(tail) == 1 and _SHORT_AFTER.match(text, after):
+            return False  # the first part of an abbreviation in two parts
         if len(tail) == 1 and "." in bare:
             return False  # dotted abbreviations
         if not blank:

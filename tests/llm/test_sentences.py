@@ -14,6 +14,7 @@ CASES = {
     "A grant was approved... but nothing was paid. The end": ["A grant was approved... but nothing was paid.", "The end"],
     "« Non », répond M. Un. Cf. l’art. 39 du règlement.": ["« Non », répond M. Un.", "Cf. l’art. 39 du règlement."],
     "Am 3. Bauabschnitt arbeitet X usw. Der Bescheid Nr. 5 wurde am 1. August geändert.": ["Am 3. Bauabschnitt arbeitet X usw.", "Der Bescheid Nr. 5 wurde am 1. August geändert."],
+    "Es kostete 245,8 Mio. Dollar, z. B. in Wien. M. Un est venu à 9 h. 30 le 3 mai.": ["Es kostete 245,8 Mio. Dollar, z. B. in Wien.", "M. Un est venu à 9 h. 30 le 3 mai."],
     "1 марта 1997 г. Управление ввело станцию. Кто заплатит?": ["1 марта 1997 г. Управление ввело станцию.", "Кто заплатит?"],
     "他说：“我们将公布。”第二句。第三句？": ["他说：“我们将公布。”", "第二句。", "第三句？"],
     "「安全だ！」と彼は言った。次の文。": ["「安全だ！」と彼は言った。", "次の文。"],
