@@ -165,10 +165,10 @@ _STRIPPED = sql.replaced("text", (r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
 _SENTENCES_SQL = f"(SELECT doc_id, unnest(list_filter(string_split(regexp_replace({_STRIPPED}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')) AS sentence FROM documents)"
 
 
-@query(f"SELECT doc_id, count(*) AS n, sum(length(sentence)) AS chars, md5(string_agg(md5(sentence), '' ORDER BY md5(sentence))) AS digest FROM {_SENTENCES_SQL} GROUP BY doc_id")
+@query(f"SELECT doc_id, count(*) AS n, CAST(sum(length(sentence)) AS BIGINT) AS chars, md5(string_agg(md5(sentence), '' ORDER BY md5(sentence))) AS digest FROM {_SENTENCES_SQL} GROUP BY doc_id")
 def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", F.explode(text.pieces(F.col("text"))).alias("sentence"))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sentence")).cast("decimal(38,0)").cast("bigint").alias("chars"), F.md5(F.array_join(F.array_sort(F.collect_list(F.md5("sentence"))), "")).alias("digest"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sentence")).alias("chars"), F.md5(F.array_join(F.array_sort(F.collect_list(F.md5("sentence"))), "")).alias("digest"))
 
 
 @query(f"SELECT (len(regexp_split_to_array(trim(sentence), '\\s+')) < 3 OR regexp_matches(sentence, '^\\p{{Ll}}')) AS is_fragment, count(*) AS n, count(DISTINCT doc_id) AS docs FROM {_SENTENCES_SQL} GROUP BY 1")
