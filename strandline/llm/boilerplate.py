@@ -39,7 +39,9 @@ def scores(lines: list, title: str, mask, recurrent: set[int], everywhere: dict[
     wanted = {mask(t) for t in (title, re.split(r"\s+[-–|]\s+", title)[0]) if t}
     out, tail = [], False
     for x in lines:
-        text, k = x.text, key(mask(x.text))
+        text = x.text
+        masked = mask(text)
+        k = key(masked)
         everywhere_after = everywhere.get(k)
         s = 0.0
         heading = tail_heading(text)
@@ -67,7 +69,7 @@ def scores(lines: list, title: str, mask, recurrent: set[int], everywhere: dict[
             s -= 4
         if text.rstrip().endswith((" >", "›")):
             s -= 4
-        if mask(text) == "§":  # the site's name and nothing else
+        if masked == "§":  # the site's name and nothing else
             s -= 4
         if _COPYRIGHT.match(text):
             s -= 5
@@ -80,7 +82,7 @@ def scores(lines: list, title: str, mask, recurrent: set[int], everywhere: dict[
             s -= 3
         if _SCRIPTED.search(text) and notice(text) and len(text) < 160:
             s -= 4
-        if not tail and mask(text) in wanted:
+        if not tail and masked in wanted:
             s += 6
         if sentence_like(text):
             s += 3 + (len(text) > (35 if wide(text) else 110))
@@ -153,9 +155,9 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
     return [bool(x) for x in fixed]
 
 
-def kept_lines(title: str | None, content: str | None, mask, recurrent: set[int], everywhere: dict[int, float]) -> list[int]:
-    """Numbers of the lines of the article."""
-    lines = [x for x in lines_of(content or "") if x.text and not x.code]
+def kept_lines(title: str | None, parsed: list, mask, recurrent: set[int], everywhere: dict[int, float]) -> list[int]:
+    """Numbers of the lines of the article, of a page's parsed lines."""
+    lines = [x for x in parsed if x.text and not x.code]
     if not lines:
         return []
     edges = []
@@ -175,9 +177,10 @@ def _keep(everywhere: dict[int, float]):
             out_table, out_id, out_line = [], [], []
             for t, i, h, title, content, r in zip(tables, ids, hosts, titles, contents, lists):
                 mask, recurrent = masker(h), set(r or ())
-                if t == "crawl_results" and residue(title, content, recurrent, everywhere, mask):
+                parsed = lines_of(content or "")
+                if t == "crawl_results" and residue(title, content, recurrent, everywhere, mask, parsed):
                     continue
-                lines = kept_lines(title, content, mask, recurrent, everywhere)
+                lines = kept_lines(title, parsed, mask, recurrent, everywhere)
                 out_table += [t] * len(lines)
                 out_id += [i] * len(lines)
                 out_line += lines

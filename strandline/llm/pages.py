@@ -224,20 +224,27 @@ def tail_heading(text: str) -> bool:
     return len(text) < 48 and _COUNTER.sub("", text).rstrip(" :：").lower() in TAIL
 
 
-def notice(text: str) -> bool:
+def held(words: list[str], content: str) -> list[str]:
+    """Those of the words that a whole page holds: its lines need be searched for no others."""
+    low = content.lower().replace("'", "’")
+    return [w for w in words if w in low]
+
+
+def notice(text: str, words: list[str] = NOTICE) -> bool:
     low = text.lower().replace("'", "’")
-    return any(w in low for w in NOTICE) or bool(_NOTICE_WORD.search(text))
+    return any(w in low for w in words) or bool(_NOTICE_WORD.search(text))
 
 
-def filler(text: str) -> bool:
+def filler(text: str, held_words: list[str] = FILLER) -> bool:
     low = text.lower()
-    if any(w in low for w in FILLER):
+    if any(w in low for w in held_words):
         return True
-    words = re.findall(r"[a-z]+", low)
+    words = _LATIN_WORDS.findall(low)
     latin = sum(w in LATIN for w in words)
     return latin >= 3 and latin >= 0.2 * len(words) or len(words) >= 12 and latin >= 2 and len(set(words)) < 0.75 * len(words)
 
 
+_LATIN_WORDS = re.compile(r"[a-z]+")
 _MAY_HOLD = re.compile(r"[{\[<%@_#]")
 
 
@@ -249,7 +256,7 @@ _MARKUP = re.compile(r"</?[a-z][^<>]*>")
 _SITE_WORD = re.compile(r"^\W*(?:portal|home ?page|website)", re.I)
 
 
-def residue(title: str | None, content: str | None, recurrent: set[int], everywhere: dict[int, float], mask) -> str | None:
+def residue(title: str | None, content: str | None, recurrent: set[int], everywhere: dict[int, float], mask, parsed: list[Line] | None = None) -> str | None:
     """Why a page isn't one: placeholder, title, filler or notice; None for pages with an article, and empty ones."""
     title = (title or "").strip()
     bare = re.split(r"\s+[-–|]\s+", title)[0] if title else ""
@@ -259,7 +266,7 @@ def residue(title: str | None, content: str | None, recurrent: set[int], everywh
         return "title"
     if not content or not content.strip():
         return None
-    lines = [x for x in lines_of(content) if not x.code]
+    lines = [x for x in (lines_of(content) if parsed is None else parsed) if not x.code]
     raw = content.split("\n")
     for x in lines:
         source = raw[x.no - 1]
@@ -272,11 +279,12 @@ def residue(title: str | None, content: str | None, recurrent: set[int], everywh
     if 6 < len(head.text) < 60 and not filler(head.text) and DEFAULT_TITLE.match(head.text) and not _SITE_WORD.match(head.text):
         return "title"
     article, told, fill, tail = 0, 0, 0, False
+    notices, fillers = held(NOTICE, content), held(FILLER, content)
     for x in lines:
         tail = tail or tail_heading(x.text)
-        if filler(x.text):
+        if filler(x.text, fillers):
             fill += 1
-        elif len(x.text) < 220 and notice(x.text):
+        elif len(x.text) < 220 and notice(x.text, notices):
             told += 1
         elif not tail and (sentence_like(x.text) or _BULLET.match(x.text) and len(x.text) > 12) and not _PARTS.search(x.text[:200]):
             k = key(mask(x.text))
