@@ -19,20 +19,28 @@ UNUSABLE = ("empty", "block_page", "js_shell", "error_page", "navigation", "soft
 
 
 def _any(c: Column, phrases: tuple[str, ...]) -> Column:
-    """One pass of a regular expression instead of a scan for each phrase."""
-    return c.rlike("|".join(p.replace(".", "\\.") for p in phrases))
+    """Searches for plain substrings; a regular expression of alternatives tries each at every place."""
+    found = c.contains(phrases[0])
+    for p in phrases[1:]:
+        found = found | c.contains(p)
+    return found
 
 
 def extraction_quality(content: Column, markup: Column | None = None) -> Column:
+    """A page's quality; without ``markup`` the content itself is searched for scripts."""
     low, length = F.lower(content), F.length(F.trim(content))
-    low_markup = F.lower(F.coalesce(markup, F.lit(""))) if markup is not None else F.lit("")
+    own_markup = markup is not None
+    low_markup = F.lower(F.coalesce(markup, F.lit(""))) if own_markup else low
+    blocked, broken = _any(low, BLOCK), _any(low, ERROR)
+    if own_markup:
+        blocked, broken = blocked | _any(low_markup, BLOCK), broken | _any(low_markup, ERROR)
     scripts = F.size(F.regexp_extract_all(low_markup, F.lit("(<script)"), 1))
     words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
     nav = F.filter(words, lambda w: _any(w, NAVIGATION))
     return (
         F.when(F.coalesce(F.trim(content), F.lit("")) == "", "empty")
-        .when(_any(low, BLOCK) | _any(low_markup, BLOCK), "block_page")
-        .when(_any(low, ERROR) | _any(low_markup, ERROR), "error_page")
+        .when(blocked, "block_page")
+        .when(broken, "error_page")
         .when((scripts > 2) & (length < 200), "js_shell")
         .when((length < 100) & (F.size(nav) > F.size(words) * 0.5), "navigation")
         .when((length < 150) & _any(low, SERVER), "soft_404")

@@ -107,7 +107,7 @@ _STATUS_SQL = f"CASE WHEN retrieval_status IN {quality.FAILED} THEN 'unusable' W
 
 
 def _rated(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "crawl_results").withColumn("quality", quality.extraction_quality(F.col("content"), F.col("content")))
+    rows = table(spark, sf, "crawl_results").withColumn("quality", quality.extraction_quality(F.col("content")))
     return rows.select("crawl_id", "quality", quality.evidence_status(F.col("quality"), F.col("retrieval_status")).alias("status"))
 
 
@@ -127,7 +127,7 @@ f AS (SELECT url_key, min(crawl_id) AS crawl_id, arg_min(fp, crawl_id) AS finger
 SELECT fingerprint, min(crawl_id) AS crawl_id, count(*) AS n_urls, string_agg(url_key, ' ' ORDER BY crawl_id, url_key) AS urls FROM f GROUP BY fingerprint""")
 def distinct_usable_pages(spark: SparkSession, sf: str) -> DataFrame:
     """The distinct usable pages, and the addresses that each was found under, in order of discovery."""
-    rows = table(spark, sf, "crawl_results").withColumn("quality", quality.extraction_quality(F.col("content"), F.col("content")))
+    rows = table(spark, sf, "crawl_results").withColumn("quality", quality.extraction_quality(F.col("content")))
     rows = rows.select("crawl_id", urls.identity(F.col("final_url")).alias("url_key"), text.fingerprint(F.col("content")).alias("fp"), quality.evidence_status(F.col("quality"), F.col("retrieval_status")).alias("status"))
     first = rows.where("url_key <> '' and status <> 'unusable'").groupBy("url_key").agg(F.min("crawl_id").alias("crawl_id"), F.min_by("fp", "crawl_id").alias("fingerprint"))
     return first.groupBy("fingerprint").agg(F.min("crawl_id").alias("crawl_id"), F.count(F.lit(1)).alias("n_urls"), F.array_join(ordered(F.col("url_key"), F.col("crawl_id")), " ").alias("urls"))
