@@ -20,7 +20,7 @@ from strandline.session import ensure_checkpoint_dir
 #: Slices of the sampling order in which a source's tokens are counted before one slice is looked into.
 SLICES = 4096
 #: Cells of the contingency table that may be fitted; their number is that of sources x languages x topics.
-MOST_CELLS = 2_000_000
+MOST_CELLS = 100_000
 # Three-letter codes of languages whose two-letter codes are in use.
 THREE = dict(x.split("=") for x in "eng=en fra=fr fre=fr por=pt spa=es deu=de ger=de swa=sw rus=ru ara=ar hin=hi zho=zh chi=zh jpn=ja tha=th".split())
 
