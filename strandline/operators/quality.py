@@ -27,26 +27,27 @@ def _any(c: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def extraction_quality(content: Column, markup: Column | None = None) -> Column:
-    """A page's quality; without ``markup`` the content itself is searched for scripts."""
-    low, length = F.lower(content), F.length(F.trim(content))
-    own_markup = markup is not None
-    low_markup = F.lower(F.coalesce(markup, F.lit(""))) if own_markup else low
-    blocked, broken = _any(low, BLOCK), _any(low, ERROR)
-    if own_markup:
-        blocked, broken = blocked | _any(low_markup, BLOCK), broken | _any(low_markup, ERROR)
-    scripts = F.size(F.regexp_extract_all(low_markup, F.lit("(<script)"), 1))
-    words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
-    nav = F.filter(words, lambda w: _any(w, NAVIGATION))
-    return (
-        F.when(F.coalesce(F.trim(content), F.lit("")) == "", "empty")
-        .when(blocked, "block_page")
-        .when(broken, "error_page")
-        .when((scripts > 2) & (length < 200), "js_shell")
-        .when((length < 100) & (F.size(nav) > F.size(words) * 0.5), "navigation")
-        .when((length < 150) & _any(low, SERVER), "soft_404")
-        .when(length < 200, "thin")
-        .otherwise("substantive")
-    )
+    """A page's quality; without ``markup`` the content itself is searched for scripts.
+
+    The lower-case text is bound once, by a transform of a one-element array: written out, every
+    search would make it anew.
+    """
+    seen = F.struct(F.lower(F.coalesce(content, F.lit(""))).alias("low"), F.length(F.trim(F.coalesce(content, F.lit("")))).alias("n"), F.lower(F.coalesce(markup, F.lit(""))).alias("markup") if markup is not None else F.lit("").alias("markup"))
+
+    def label(x: Column) -> Column:
+        low, n, source = x["low"], x["n"], x["markup"] if markup is not None else x["low"]
+        blocked, broken = _any(low, BLOCK), _any(low, ERROR)
+        if markup is not None:
+            blocked, broken = blocked | _any(source, BLOCK), broken | _any(source, ERROR)
+        scripts = F.size(F.regexp_extract_all(source, F.lit("(<script)"), 1))
+        words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
+        nav = F.filter(words, lambda w: _any(w, NAVIGATION))
+        return (
+            F.when(n == 0, "empty").when(blocked, "block_page").when(broken, "error_page").when((n < 200) & (scripts > 2), "js_shell")
+            .when((n < 100) & (F.size(nav) > F.size(words) * 0.5), "navigation").when((n < 150) & _any(low, SERVER), "soft_404").when(n < 200, "thin").otherwise("substantive")
+        )
+
+    return F.element_at(F.transform(F.array(seen), label), 1)
 
 
 def evidence_status(quality: Column, retrieval: Column) -> Column:
