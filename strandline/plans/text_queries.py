@@ -231,10 +231,29 @@ _SKIP = ("The", "A", "An", "And", "Or", "But", "In", "On", "At", "By", "For", "O
 def mention_extract(spark: SparkSession, sf: str) -> DataFrame:
     """Capitalised phrases of claims and how often they occur; function words are no mentions."""
     rows = table(spark, sf, "atomic_claims").where(~F.col("claim_text").rlike(r"[^\x00-\x7F]")).select("seq", F.explode(F.regexp_extract_all("claim_text", F.lit(r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"), 1)).alias("mention"))
+    return _mention_counts(rows)
+
+
+def _mention_counts(rows: DataFrame) -> DataFrame:
     rows = rows.where((F.length("mention") > 2) & ~F.col("mention").isin(*_SKIP))
     return rows.groupBy("mention").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("claims"), F.min("seq").alias("first_seq"))
 
 
+#: A capital and small letters of any script, each with its combining marks.
+_MENTION = r"([\p{Lu}\p{Lt}]\p{M}*\p{Ll}[\p{Ll}\p{M}]*(?:[\s\p{Z}]+[\p{Lu}\p{Lt}]\p{M}*\p{Ll}[\p{Ll}\p{M}]*)*)"
+
+
+def all_mentions(claims: DataFrame) -> DataFrame:
+    """Capitalised phrases of all claims, in whatever script, and how often they occur."""
+    return _mention_counts(claims.select("seq", F.explode(F.regexp_extract_all("claim_text", F.lit(_MENTION), 1)).alias("mention")))
+
+
+@query()
+def mention_extract_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``mention_extract`` without its SQL's limit to claims in ASCII."""
+    return all_mentions(table(spark, sf, "atomic_claims"))
+
+
 @query(f"SELECT evidence_id, url, {sql.fingerprint('content')} AS fp FROM evidence QUALIFY row_number() OVER (PARTITION BY {sql.fingerprint('content')} ORDER BY evidence_id) = 1")
 def keep_first_content(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "evidence").select("evidence_id", "url", text.fingerprint(F.col("content")).alias("fp"))

@@ -137,3 +137,22 @@ def test_last_state(spark):
     t = lambda d: datetime(2026, 1, d)
     df = spark.createDataFrame([("k", "PROCESSING", t(2)), ("k", "PENDING", t(1)), ("k", "COMPLETED", t(2))], "key string, state string, ts timestamp")
     assert [tuple(r)[:2] for r in queue.last_states(df).collect()] == [("k", "COMPLETED")]
+
+
+def test_mentions_of_all_claims(spark):
+    from strandline.plans.text_queries import all_mentions
+
+    claims = [(1, "The Port Board met José Núñez."), (2, "Совет Порта and Port Board agreed – at last"), (3, "Cafe\u0301 Rio, caf\u00e9 Rio"), (4, None), (5, "港湾局が発表")]
+    got = {(r["mention"], r["n"], r["claims"], r["first_seq"]) for r in all_mentions(spark.createDataFrame(claims, "seq long, claim_text string")).collect()}
+    assert got == {("The Port Board", 1, 1, 1), ("José Núñez", 1, 1, 1), ("Совет Порта", 1, 1, 2), ("Port Board", 1, 1, 2), ("Cafe\u0301 Rio", 1, 1, 3), ("Rio", 1, 1, 3)}
+
+
+def test_mentions_of_ascii_claims_are_as_before(spark):
+    from conftest import SMALL
+
+    from strandline.plans import text_queries
+    from strandline.session import table
+
+    ascii_claims = table(spark, SMALL, "atomic_claims").where(~F.col("claim_text").rlike(r"[^\x00-\x7F]"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(text_queries.all_mentions(ascii_claims)) == rows(text_queries.mention_extract(spark, SMALL))
