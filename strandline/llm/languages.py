@@ -64,6 +64,9 @@ _FRONT = re.compile(r"\A\s*---[^\S\n]*\n.*?\n---[^\S\n]*(?:\n|\Z)", re.S)
 _ASIDE = re.compile(r"\[\[[^\]\n]*\]\]|\]\([^)\n]*\)|(?:https?://|www\.)\S+|\S+@\S+\.\S+")
 _NAMES = re.compile(r"(?<!\w)[A-ZÀ-Þ][\w’.-]*(?:\s(?:[A-ZÀ-Þ][\w’.-]*|&)){2,}")
 _PIECES = re.compile(r"[.!?…。！？।؟\n]+\s*")
+# where any sentence may end: also at the blanks of Thai
+_THAI = re.compile(r"[\u0e00-\u0e7f]")
+_ENDS = re.compile(_PIECES.pattern + r"|(?<=[\u0e00-\u0e7f])\s+|\s+(?=[\u0e00-\u0e7f])")
 
 
 def label_of(label: str | None) -> str | None:
@@ -215,6 +218,12 @@ def pieces_of(text: str) -> np.ndarray:
     return np.array(starts, np.int64)
 
 
+def ends_of(text: str) -> np.ndarray:
+    """Starts of the smallest passages of which sentences are made."""
+    marks = _ENDS if _THAI.search(text) else _PIECES
+    return np.array([0, *(m.end() for m in marks.finditer(text) if m.end() < len(text))], np.int64)
+
+
 def _summed(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts, axis=0) if len(starts) else values[:0]
 
@@ -283,9 +292,14 @@ def path(total: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 
 def segments_of(texts: list[str], models: Models) -> list[list[tuple[int, int, str, float]]]:
-    """For each text its segments: (start, end, language, confidence)."""
+    """For each text its segments: (start, end, language, confidence).
+
+    A path that changes language gains more than ``SWITCH`` on the text's best language. No path gains
+    more than each smallest passage does in its own best language, so only texts in which these gains
+    sum up to that are cut into sentences; the others would come out in one language.
+    """
     codes = [codes_of(t) for t in texts]
-    pieces = [pieces_of(t) for t in texts]
+    pieces = [ends_of(t) for t in texts]
     sizes = np.array([len(c) for c in codes], np.int64)
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     todo = np.flatnonzero(sizes)
@@ -304,11 +318,10 @@ def segments_of(texts: list[str], models: Models) -> list[list[tuple[int, int, s
         doc_total, doc_letters = _summed(value, first), _summed(letter, first)
         starts = np.concatenate([pieces[d] + f for d, f in zip(part, first)])
         of = np.repeat(np.arange(len(part)), [len(pieces[d]) for d in part])
-        total, letters = _summed(value, starts), _summed(letter, starts)
+        total = _summed(value, starts)
         main = doc_total.argmax(axis=1)
         ahead = total.max(axis=1) - total[np.arange(len(of)), main[of]]
-        several = np.zeros(len(part), bool)
-        several[of[(ahead > SWITCH) & (letters >= 4)]] = True
+        several = np.bincount(of, ahead, len(part)) > SWITCH - 0.01
         mixed = np.flatnonzero(several)
         which, a, b = sentences.spans([texts[part[m]] for m in mixed]) if len(mixed) else (np.zeros(0, np.int64),) * 3
         for p, d in enumerate(part):
@@ -324,9 +337,11 @@ def segments_of(texts: list[str], models: Models) -> list[list[tuple[int, int, s
             sums = np.add.reduceat(value[lo : lo + sizes[d]], spans[:, 0], axis=0) if len(spans) else None
             count = np.add.reduceat(letter[lo : lo + sizes[d]], spans[:, 0]) if len(spans) else None
             told = np.flatnonzero(count >= 3)
-            if not len(told):
+            lang = path(sums[told]) if len(told) else main[m : m + 1]
+            if (lang == lang[0]).all():
+                if doc_letters[m] >= 2:
+                    out[d] = [(0, len(texts[d]), *_verdict(doc_total[m], doc_letters[m], int(main[m]), models))]
                 continue
-            lang = path(sums[told])
             at = 0
             for cut in [*np.flatnonzero(np.diff(lang)) + 1, len(told)]:
                 run = told[at:cut]

@@ -79,3 +79,29 @@ def test_path_prefers_few_changes():
     assert languages.path(total).tolist() == [0] * 5
     total[2, 1] = 40
     assert languages.path(total).tolist() == [0, 0, 1, 0, 0]
+
+
+def test_short_foreign_sentences_are_cut(spark):
+    models = languages.train([(r["lang"], r["text"]) for r in corpus(spark).where("doc_id < 320").collect()])
+    zh, ja = "居民签署了请愿书。", "公社は述べた。"
+    texts = [zh + SEED["fr"], SEED["en"] + " " + ja + " " + SEED["en"], SEED["fr"], SEED["en"] + " Nobody could read. " + SEED["en"]]
+    want = [["zh", "fr"], ["en", "ja", "en"], ["fr"], ["en"]]
+    found = languages.segments_of(texts, models)
+    assert [[x[2] for x in f] for f in found] == want
+    assert found[2] == languages.segments_of([SEED["fr"]], models)[0] and found[2][0][:2] == (0, len(SEED["fr"]))
+
+
+def test_the_gate_loses_no_segment(spark, monkeypatch):
+    models = languages.train([(r["lang"], r["text"]) for r in corpus(spark).where("doc_id < 320").collect()])
+    rng = random.Random(4)
+    texts = []
+    for _ in range(200):
+        parts = []
+        for _ in range(rng.randrange(1, 7)):
+            words = SEED[rng.choice(["en", "fr", "de", "es", "ru", "zh"])].rstrip(".。").split(" ")
+            k = rng.randrange(len(words))
+            parts.append(" ".join(words[k : k + rng.randrange(1, 9)]) + ".")
+        texts.append(" ".join(parts))
+    gated = languages.segments_of(texts, models)
+    monkeypatch.setattr(languages.np, "bincount", lambda of, weights, n: np.full(n, 1e9))
+    assert gated == languages.segments_of(texts, models)
