@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.snapshots import BLANKS
+from strandline.session import ensure_checkpoint_dir
 
 # Titles, articles and suffixes that are no part of a name.
 NO_PART = frozenset("the of and for mr mrs ms miss dr prof eng ing hon sir rev mme hq headquarters head office formerly".split())
@@ -371,17 +373,53 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 
 def node_twins(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key_a, key_b): uids that are the same entity, key_a < key_b."""
-    own = nodes.where("uid is not null and entity is not null").select(F.col("uid").alias("u"), F.col("entity").alias("name"))
-    typed = own.join(links.where(~F.col("frame").rlike("^(acronym|initial|other)")), "name").where(F.col("u") != F.col("uid"))
-    return typed.select(F.least("u", "uid").alias("key_a"), F.greatest("u", "uid").alias("key_b")).distinct()
+    """(key_a, key_b): uids that are the same entity, key_a < key_b.
+
+    Nodes are twins if the name of one is read as the other's. A node's aliases make it a twin of the
+    one entity that they are read as instead; one entered under an acronym or initial is also the twin
+    of the one entity that has this as an alias, else of the only one that it fits. ``links`` must
+    hold the aliases for that.
+    """
+    nodes = nodes.where("uid is not null")
+    names = nodes.where("entity is not null").select(F.col("uid").alias("u"), F.col("entity").alias("name"), F.lit(False).alias("alias"))
+    names = names.unionByName(nodes.select(F.col("uid").alias("u"), F.explode("aliases").alias("name"), F.lit(True).alias("alias")).where("name is not null")).distinct()
+    each = _written(names.join(links, "name"), "each")
+    full, loose = ~F.col("frame").rlike("^(acronym|initial|other)"), F.col("frame").rlike("^(acronym$|initial )")
+    sure = each.where(~F.col("alias") & full & (F.col("u") != F.col("uid"))).select(F.least("u", "uid").alias("key_a"), F.greatest("u", "uid").alias("key_b")).distinct()
+    whole = each.where(~F.col("alias") & full & (F.col("u") == F.col("uid"))).select("u").distinct()
+    by_alias = each.where(F.col("alias") & full).withColumn("own", F.max(F.col("u") == F.col("uid")).over(Window.partitionBy("u", "name"))).where("not own").select(F.col("u").alias("v"), F.col("uid").alias("fit"), F.lit(1).alias("tier"), "d")
+    apart = each.where(loose & (F.col("u") != F.col("uid")))
+    as_alias = apart.where(F.col("alias") & (F.col("d") == 0)).select(F.col("uid").alias("v"), F.col("u").alias("fit"), F.lit(2).alias("tier"), "d")
+    by_name = apart.where(~F.col("alias")).select(F.col("u").alias("v"), F.col("uid").alias("fit"), F.lit(3).alias("tier"), "d")
+    short = as_alias.unionByName(by_name).join(whole.withColumnRenamed("u", "v"), "v", "left_anti").join(whole.withColumnRenamed("u", "fit"), "fit", "left_semi")
+    nearest = by_alias.unionByName(short).withColumn("r", F.rank().over(Window.partitionBy("v").orderBy("tier", "d"))).where("r = 1")
+    one = nearest.join(_smallest(sure).withColumnRenamed("uid", "fit"), "fit", "left").groupBy("v").agg(F.min(F.coalesce("smaller", "fit")).alias("fit"), F.countDistinct(F.coalesce("smaller", "fit")).alias("n")).where("n = 1 and fit <> v")
+    return _closed(_written(sure.unionByName(one.select(F.least("v", "fit").alias("key_a"), F.greatest("v", "fit").alias("key_b"))), "twins"))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, kept in the shared folder: what is read several times is computed once."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/names-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _smallest(twins: DataFrame) -> DataFrame:
+    """(uid, smaller): the smallest twin of each uid that has a smaller one."""
+    return twins.groupBy(F.col("key_b").alias("uid")).agg(F.min("key_a").alias("smaller"))
+
+
+def _closed(twins: DataFrame) -> DataFrame:
+    """Twins, and pairs of those with a twin in common."""
+    both = twins.select(F.col("key_a").alias("x"), F.col("key_b").alias("y")).unionByName(twins.select(F.col("key_b").alias("x"), F.col("key_a").alias("y"))).distinct()
+    shared = both.join(both.withColumnRenamed("y", "z"), "x").where("y < z").select(F.col("y").alias("key_a"), F.col("z").alias("key_b"))
+    return twins.unionByName(shared).distinct()
 
 
 def best_links(links: DataFrame, twins: DataFrame) -> DataFrame:
     """(name, uid): the nearest node of each name, twins counted as their smaller uid."""
-    smaller = twins.groupBy(F.col("key_b").alias("uid")).agg(F.min("key_a").alias("smaller"))
     w = Window.partitionBy("name").orderBy("d")
-    near = links.withColumn("r", F.rank().over(w)).where("r = 1").join(smaller, "uid", "left").select("name", F.coalesce("smaller", "uid").alias("uid")).distinct()
+    near = links.withColumn("r", F.rank().over(w)).where("r = 1").join(_smallest(twins), "uid", "left").select("name", F.coalesce("smaller", "uid").alias("uid")).distinct()
     return near.groupBy("name").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("n")).where("n = 1").select("name", "uid")
 
 
@@ -396,8 +434,7 @@ def linked_records(entities: DataFrame, claims: DataFrame, nodes: DataFrame) ->
     written = nodes.select(F.col("entity").alias("name")).unionByName(nodes.select(F.explode("aliases").alias("name"))).where("name is not null").distinct()
     typed = last.select(F.lit("rita_entities").alias("record_table"), "key_a", "name").unionByName(subjects.select(F.lit("atomic_claims").alias("record_table"), "key_a", "name"))
     typed = typed.where("name is not null").join(written, "name", "left_anti")
-    own = nodes.where("entity is not null").select(F.col("entity").alias("name"))
-    links = link_names(typed.select("name").unionByName(own), nodes)
+    links = _written(link_names(typed.select("name").unionByName(written), nodes), "links")
     twins = node_twins(links, nodes)
     found = typed.join(best_links(links, twins), "name").select("record_table", "key_a", F.col("uid").alias("key_b"))
     return found.unionByName(twins.select(F.lit("canonical_nodes").alias("record_table"), "key_a", "key_b"))

@@ -78,3 +78,17 @@ def test_records(spark):
     first = uid["Ralomir Water Supply Board"]
     assert got == {("rita_entities", "7", first), ("atomic_claims", "1", first), ("canonical_nodes", first, "E-9999")}
     assert names.linked_records(entities.where("false"), claims.where("false"), nodes.where("false")).count() == 0
+
+
+def test_short_and_alias_nodes_are_twins(spark):
+    nodes, uid = registry(spark)
+    extra = [
+        ("E-9001", "R.W.S.B.", []), ("E-9002", "rgtf", ["Ralomir Gas Trust Fund."]), ("E-9003", "M. Sosterim", []), ("E-9004", "E SSosterim", ["Sosterim Elizabteh"]),
+        ("E-9005", "S.S.B.", []), ("E-9006", "Old Harbour Office", ["Ternavo Rail Research Inst."]),
+    ]
+    nodes = nodes.union(spark.createDataFrame(extra, nodes.schema))
+    claims = spark.createDataFrame([(1, "M Sosterim"), (2, "RWSB")], "seq long, subject string")
+    entities = spark.createDataFrame([], "entity_id string, name string, snapshot_no int, delivered_at timestamp")
+    got = {(r["record_table"], r["key_a"], r["key_b"]) for r in names.linked_records(entities, claims, nodes).collect()}
+    want = {("Ralomir Water Supply Board", "E-9001"), ("Ralomir Gas Trust Fund", "E-9002"), ("Michael Sosterim", "E-9003"), ("Elizabeth Sosterim", "E-9004"), ("Ternavo Rail Research Institute", "E-9006")}
+    assert got == {("canonical_nodes", uid[a], b) for a, b in want} | {("atomic_claims", "1", uid["Michael Sosterim"]), ("atomic_claims", "2", uid["Ralomir Water Supply Board"])}
