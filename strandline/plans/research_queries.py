@@ -36,6 +36,19 @@ def title_targets(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("subject", title_case(F.col("subject")).alias("titled"))
 
 
+def title_all(c: Column) -> Column:
+    """``title_case`` over the letters of any script; marks belong to the letter before them."""
+    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}[\p{L}\p{M}]*|\P{L}+)"), 1)
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), "")
+
+
+@query()
+def title_targets_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``title_targets`` without its SQL's limit to subjects in ASCII."""
+    rows = table(spark, sf, "atomic_claims").where("subject is not null").select("subject").distinct()
+    return rows.select("subject", title_all(F.col("subject")).alias("titled"))
+
+
 @query("""SELECT evidence_id, i AS chunk_index, n + 1 AS total_chunks, length(substring(content, i * 900 + 1, 1000)) AS n_chars, sha256(substring(content, i * 900 + 1, 1000)) AS digest FROM
  (SELECT evidence_id, content, n, unnest(generate_series(0, n)) AS i FROM (SELECT evidence_id, content, CAST(CASE WHEN length(content) <= 1000 THEN 0 ELSE ceil((length(content) - 1000) / 900.0) END AS BIGINT) AS n FROM evidence WHERE trim(coalesce(content, '')) <> '' AND coalesce(evidence_status, '') <> 'unusable'))""")
 def evidence_chunks(spark: SparkSession, sf: str) -> DataFrame:

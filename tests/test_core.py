@@ -156,3 +156,16 @@ def test_mentions_of_ascii_claims_are_as_before(spark):
     ascii_claims = table(spark, SMALL, "atomic_claims").where(~F.col("claim_text").rlike(r"[^\x00-\x7F]"))
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(text_queries.all_mentions(ascii_claims)) == rows(text_queries.mention_extract(spark, SMALL))
+
+
+def test_titles_of_all_subjects(spark):
+    from conftest import SMALL
+
+    from strandline.plans import research_queries
+
+    want = {"josé nÚÑEZ-o'dálaigh": "José Núñez-O'Dálaigh", "совет ПОРТА 3a": "Совет Порта 3A", "cafe\u0301 RIO": "Cafe\u0301 Rio", "港湾局 x": "港湾局 X", "": "", "- 7": "- 7"}
+    rows = spark.createDataFrame([(s,) for s in want], "s string")
+    assert {r["s"]: r["t"] for r in rows.select("s", research_queries.title_all(F.col("s")).alias("t")).collect()} == want
+    found = {r["subject"]: r["titled"] for r in research_queries.title_targets_all(spark, SMALL).collect()}
+    before = {r["subject"]: r["titled"] for r in research_queries.title_targets(spark, SMALL).collect()}
+    assert before.items() <= found.items() and len(found) > len(before)
