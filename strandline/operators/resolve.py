@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,27 +80,56 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
+def _segments(n: int, threshold: float) -> list[tuple[int, int]]:
+    """(place, size) of the even segments of a name of length n, one more than any partner can harm."""
+    longest = int(n * (2 - threshold) / threshold + 1e-9)
+    parts = min(n, int((1 - threshold) * (n + longest) + 1e-9) + 1)
+    cuts = [n * k // parts for k in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def _index_keys(b: str, threshold: float) -> list[str]:
+    return [f"{len(b)} {k} {b[at : at + size]}" for k, (at, size) in enumerate(_segments(len(b), threshold))]
+
+
+def _probe_keys(a: str, threshold: float) -> list[str]:
+    """The keys of every name that can be so similar to ``a``."""
+    n, out = len(a), set()
+    for m in range(math.ceil(n * threshold / (2 - threshold) - 1e-9), int(n * (2 - threshold) / threshold + 1e-9) + 1):
+        common = math.ceil(threshold * (n + m) / 2 - 1e-9)
+        for k, (at, size) in enumerate(_segments(m, threshold)):
+            for start in range(max(0, at - (m - common)), min(n - size, at + n - common) + 1):
+                out.add(f"{m} {k} {a[start : start + size]}")
+    return sorted(out)
+
+
 def fuzzy(mentions: DataFrame, nodes: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(mention, uid, score): registered names at least so similar to a mention's normal form.
 
-    Compared are pairs that share one of the rarest two fifths of either name's trigrams, and whose
-    lengths allow the threshold: 2 * min / (a + b) >= threshold. Two names of that ratio whose common
-    trigrams are all among the commonest three fifths of one of them are not found. Names of fewer than
-    four characters are left to ``resolve``.
+    Every such pair is found: of two names of lengths a and b, at most (1 - threshold) * (a + b)
+    characters are outside the matching blocks, and each harms one segment of the registered name at
+    most. That is cut into one more, so one lies whole within a block, shifted by no more than the
+    characters outside. Names of fewer than four characters are left to ``resolve``.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, 3)))
-    left = mentions.select("mention").distinct().withColumn("a", text.match_form(F.col("mention"))).where("length(a) > 3")
-    right = registered_names(nodes).select("uid", text.match_form(F.col("name")).alias("b")).where("length(b) > 3").distinct()
-    gl, gr = left.select("a", F.explode(grams(F.col("a"))).alias("g")).distinct(), right.select("b", F.explode(grams(F.col("b"))).alias("g")).distinct()
-    rare = gr.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
 
-    def prefix(x: DataFrame, name: str) -> DataFrame:
-        ranked = x.join(rare, "g", "left").withColumn("r", F.row_number().over(Window.partitionBy(name).orderBy(F.coalesce("df", F.lit(0)), "g"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(name)))
-        return ranked.where("r <= ceil(0.4 * n)").select(name, "g")
+    def keyed(names: DataFrame, make: Callable[[str, float], list[str]]) -> DataFrame:
+        column = names.columns[0]
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name in batch.column(0).to_pylist():
+                    k = [xxhash.xxh64_intdigest(x) - (1 << 63) for x in make(name, threshold)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k, pa.int64())], names=[column, "k"])
 
-    pairs = prefix(gl, "a").join(prefix(gr, "b"), "g").select("a", "b").distinct()
+        return names.distinct().mapInArrow(each, f"{column} string, k bigint")
+
+    left = mentions.select("mention").distinct().withColumn("a", text.match_form(F.col("mention"))).where("length(a) > 3")
+    right = registered_names(nodes).select("uid", text.match_form(F.col("name")).alias("b")).where("length(b) > 3").distinct()
+    probes = keyed(left.select("a"), _probe_keys)
+    index = keyed(right.select("b"), _index_keys)
+    pairs = probes.join(index, "k").select("a", "b")
     la, lb = F.length("a"), F.length("b")
     # the blocks that don't match are at least the edit distance, so no pair of the ratio is lost here
-    near = F.levenshtein("a", "b") <= (1 - threshold) * (la + lb)
-    pairs = pairs.where((2 * F.least(la, lb) / (la + lb) >= threshold) & near).withColumn("score", ratio("a", "b")).where(F.col("score") >= threshold)
+    near = F.levenshtein("a", "b") <= (1 - threshold) * (la + lb) + 1e-9
+    pairs = pairs.where(near).distinct().withColumn("score", ratio("a", "b")).where(F.col("score") >= threshold)
     return left.join(pairs, "a").join(right, "b").groupBy("mention", "uid").agg(F.max("score").alias("score"))

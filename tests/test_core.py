@@ -169,3 +169,24 @@ def test_titles_of_all_subjects(spark):
     found = {r["subject"]: r["titled"] for r in research_queries.title_targets_all(spark, SMALL).collect()}
     before = {r["subject"]: r["titled"] for r in research_queries.title_targets(spark, SMALL).collect()}
     assert before.items() <= found.items() and len(found) > len(before)
+
+
+def test_fuzzy_loses_no_pair(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    names = ["nmsrc", "nmrc"]
+    for _ in range(120):
+        x = "".join(rng.choice("abc ") for _ in range(rng.randint(4, 24)))
+        names.append(x)
+        for _ in range(2):
+            y = list(x)
+            for _ in range(rng.randint(1, 4)):
+                at = rng.randrange(len(y) + 1)
+                y[at : at + rng.randrange(2)] = rng.choice(["", "a", "b", "d"])
+            names.append("".join(y))
+    names = sorted({f for n in names if len(f := " ".join(n.split())) > 3})
+    nodes = spark.createDataFrame([(f"u{i}", n, []) for i, n in enumerate(names)], "uid string, entity string, aliases array<string>")
+    got = {(r["mention"], r["uid"]) for r in resolve.fuzzy(spark.createDataFrame([(n,) for n in names], "mention string"), nodes).collect()}
+    assert got == {(a, f"u{j}") for a in names for j, b in enumerate(names) if SequenceMatcher(None, a, b).ratio() >= 0.85}
