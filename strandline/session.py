@@ -1,9 +1,10 @@
-"""Session helpers: table reading, the shared checkpoint folder, partition counts."""
+"""Session helpers: table reading, the shared checkpoint folder and tables in it."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,10 +31,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def at_least(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Spread a small number of input splits over all cores before Python work.
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's name in the shared folder, for tables that cut lineage; it is deleted when the driver ends."""
+    folder = f"{ensure_checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
 
-    A table of many files keeps its own splits, so nothing is shuffled at scale.
-    """
-    want = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+
+def written(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """The rows, written once to the folder and read back: lost executors cost no recomputation."""
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.parquet(f"{folder}/{name}")
