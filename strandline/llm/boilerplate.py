@@ -1,9 +1,12 @@
 """The article of a page apart from its furniture, as a minimum cut over the page's lines.
 
-Each line is a node. What a classifier holds against its being content, and against its being
-furniture, are the capacities to the two terminals; neighbouring lines, and lines of one parent
-element, are joined by smoothness edges. A minimum cut, found by maximum flow, is the cheapest
-labelling of all lines together.
+Each line is a node. A classifier's costs of calling it furniture, or content, are the capacities to
+the two terminals; neighbouring lines, and lines of one parent element, are joined by smoothness
+edges. A minimum cut, found by maximum flow, is the cheapest labelling of all lines together.
+
+The classifier is a logistic regression over a line's marks. It is fitted on pages whose elements and
+classes tell furniture from content, once with those marks and once without them, so that it judges
+plain text, too. Stated weights are the mean of its prior: they decide where no such pages exist.
 """
 
 from __future__ import annotations
@@ -12,11 +15,13 @@ import re
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.pages import _BULLET, _PARTS, TAIL, host_of, key, lines_of, masker, notice, page_of, recurrent_lines, residue, sentence_like, tail_heading, with_recurrent, wide
+from strandline.llm.pages import _BULLET, _PARTS, TAIL, article_weight, page_rows, parsed, recurrent_lines, residue_of, sentence_like, tail_heading, wide, with_recurrent
+from strandline.session import new_folder
 
 # Elements, and words in class names, of a page's furniture.
 ELEMENTS = frozenset("nav footer aside form button select noscript figcaption header menu".split())
@@ -33,67 +38,130 @@ _SCRIPTED = re.compile(r"java ?script|\bscripts?\b|noscript", re.I)
 #: Smoothness: neighbours in one run of lines, neighbours across a gap or another element, second neighbours of one element.
 NEAR, ACROSS, SECOND = 0.8, 0.5, 0.3
 
+#: Marks of a line, and the mean of each one's weight before any page is seen: above 0 for content.
+MARKS = {
+    "element": -5.0, "class": -5.0, "link": -3.0, "h1": 5.0, "h2": 2.5, "h3": 0.5, "li": 0.5, "h2 in tail": 2.0,
+    "heading of tail": -6.0, "tail": -4.0, "menu": -4.0, "two parts": -4.0, "arrow": -4.0, "site": -4.0, "copyright": -5.0, "announced": -5.0, "hashes": -3.0, "scripted": -4.0,
+    "title": 6.0, "sentence": 3.0, "long": 1.0, "item": 2.2, "other before text": 0.8, "other before others": -1.5, "everywhere": -4.0, "on host": -2.5,
+}
+BIT = {name: 1 << i for i, name in enumerate(MARKS)}
+_MARKUP_BITS = sum(BIT[x] for x in ("element", "class", "link", "h1", "h2", "h3", "li", "h2 in tail"))
+_TAGS = {"h1": BIT["h1"], "h2": BIT["h2"], "h3": BIT["h3"], "li": BIT["li"]}
+#: Notices that scripts are needed are shorter than this; a longer line may mention them.
+SHORT = 160
+#: A page of the sample: its elements or classes call so many lines furniture.
+TELLING_LINES = 2
+#: The classifier is fitted on about so many pages, drawn by a hash of their ids.
+SAMPLE = 3000
+#: How strongly the prior holds: as that many nats for a weight one off its mean.
+PRIOR = 0.5
+#: A line that the sample's markup calls content, or furniture.
+CONTENT_BIT, FURNITURE_BIT = 1 << 43, 1 << 44
+
 
-def scores(lines: list, title: str, mask, recurrent: set[int], everywhere: dict[int, float]) -> list[float]:
-    """For each line what speaks for content (above 0) or furniture (below)."""
+def marks_of(lines: list, masked: list[str], title: str, mask) -> list[int]:
+    """The bits of a page's lines that need no other page."""
+    title = title.strip()
     wanted = {mask(t) for t in (title, re.split(r"\s+[-–|]\s+", title)[0]) if t}
+    furniture = [bool(x.tags and ELEMENTS.intersection(x.tags)) for x in lines]
+    classes = [bool(x.marks and CLASSES.intersection(x.marks.replace("-", " ").split())) for x in lines]
+    telling = sum(furniture) + sum(classes) >= TELLING_LINES
+    body = [article_weight(x.text) > 0 for x in lines]
     out, tail = [], False
-    for x in lines:
-        text = x.text
-        masked = mask(text)
-        k = key(masked)
-        everywhere_after = everywhere.get(k)
-        s = 0.0
+    for i, x in enumerate(lines):
+        text, m = x.text, masked[i]
         heading = tail_heading(text)
         tail = tail or heading
-        if x.code:
-            s -= 20
-        if ELEMENTS.intersection(x.tags) or CLASSES.intersection(x.marks.replace("-", " ").split()):
-            s -= 5
-        last = x.tags[-1] if x.tags else ""
-        if x.link:
-            s -= 3
-        s += {"h1": 5.0, "h2": 2.5, "h3": 0.5, "p": 0.5, "li": 0.5, "span": -0.5, "div": -0.5}.get(last, 0.0)
+        bits = BIT["element"] * furniture[i] | BIT["class"] * classes[i] | BIT["link"] * x.link
+        if x.tags:
+            last = x.tags[-1]
+            bits |= _TAGS.get(last, 0)
+            if telling:
+                if furniture[i] or classes[i] or x.link or tail or last not in ("h1", "h2", "p", "li"):
+                    bits |= FURNITURE_BIT
+                elif last != "p" or body[i]:  # a short paragraph may be a sub-heading or a teaser
+                    bits |= CONTENT_BIT
         if heading:
-            s -= 6
+            bits |= BIT["heading of tail"]
         elif tail:
-            s -= 4 if "h2" not in x.tags else 2
-        if everywhere_after is not None:
-            s -= 4
-        elif k in recurrent:
-            s -= 2.5
+            bits |= BIT["tail"] | BIT["h2 in tail"] * ("h2" in x.tags)
         parts = [p for p in _PARTS.split(text) if p]
         if len(parts) >= 3 and sum(map(len, parts)) < 26 * len(parts):
-            s -= 4
+            bits |= BIT["menu"]
         elif len(parts) == 2 and len(text) < 90 and (" | " in text and _YEAR.search(parts[1]) or " > " in text or " · " in text or " | " in text and not sentence_like(text)):
-            s -= 4
-        if text.rstrip().endswith((" >", "›")):
-            s -= 4
-        if masked == "§":  # the site's name and nothing else
-            s -= 4
+            bits |= BIT["two parts"]
+        if text.endswith((" >", "›")) or text.count(" > ") > 1:
+            bits |= BIT["arrow"]
+        if m == "§":  # the site's name and nothing else
+            bits |= BIT["site"]
         if _COPYRIGHT.match(text):
-            s -= 5
+            bits |= BIT["copyright"]
         before, colon, _ = text.replace("：", ":").partition(":")
-        if colon and before.strip().lower() in ANNOUNCE:
-            s -= 5
-        elif text.strip().lower() in ANNOUNCE:
-            s -= 5
-        if len(_HASHES.findall(text)) >= 1 and text.lstrip().startswith("#") and not text.lstrip().startswith("##"):
-            s -= 3
-        if _SCRIPTED.search(text) and notice(text) and len(text) < 160:
-            s -= 4
-        if not tail and masked in wanted:
-            s += 6
+        if (before if colon else text).strip().lower() in ANNOUNCE:
+            bits |= BIT["announced"]
+        if text.startswith("#") and not text.startswith("##") and _HASHES.search(text):
+            bits |= BIT["hashes"]
+        if len(text) < SHORT and _SCRIPTED.search(text):
+            bits |= BIT["scripted"]
+        if not tail and m in wanted:
+            bits |= BIT["title"]
         if sentence_like(text):
-            s += 3 + (len(text) > (35 if wide(text) else 110))
+            bits |= BIT["sentence"] | BIT["long"] * (len(text) > (35 if wide(text) else 110))
         elif _BULLET.match(text):
-            s += 2.2
-        elif len(parts) < 2:
-            s += 0.8
-        out.append(s)
+            bits |= BIT["item"]
+        elif len(parts) < 2 and not bits & BIT["title"]:
+            # a sub-heading has text below it, a teaser another teaser or the end
+            bits |= BIT["other before text"] if i + 1 < len(lines) and body[i + 1] else BIT["other before others"]
+        out.append(bits)
     return out
 
 
+def fit(bits: np.ndarray, content: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """Weights of the marks and a constant: a logistic regression by Newton's method, with a Gaussian prior about MARKS."""
+    mean = np.array([*MARKS.values(), 0.0])
+    w = mean.copy()
+    if not len(bits):
+        return w
+    x = np.concatenate([(bits[:, None] >> np.arange(len(MARKS))) & 1, np.ones((len(bits), 1), np.int64)], axis=1).astype(np.float64)
+    kinds, at = np.unique(x, axis=0, return_inverse=True)
+    n, good = np.bincount(at.ravel(), minlength=len(kinds)), np.bincount(at.ravel(), content, len(kinds))
+
+    def loss(w: np.ndarray) -> float:
+        z = kinds @ w
+        return float(n @ np.logaddexp(0, z) - good @ z + prior / 2 * ((w - mean) ** 2).sum())
+
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(kinds @ w, -30, 30)))
+        slope = kinds.T @ (good - n * p) - prior * (w - mean)
+        curve = (kinds * (n * p * (1 - p))[:, None]).T @ kinds + prior * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-6:
+            step = step / 2
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def trained(pages: DataFrame, everywhere: set[int]) -> np.ndarray:
+    """The classifier, from a sample of at most about SAMPLE telling pages; only bits of its lines come to the driver."""
+    label = F.lit(CONTENT_BIT | FURNITURE_BIT)
+    telling = pages.where(F.exists("bits", lambda b: b.bitwiseAND(label) != 0))
+    share = min(1.0, SAMPLE / max(1, telling.count()))
+    drawn = telling.where(F.pmod(F.xxhash64("record_table", "id", F.lit(7)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    rows = drawn.select("k", "bits", "recurrent").collect()
+    bits = sorted(b for r in rows for b in with_bits(r["k"], r["bits"], r["recurrent"], everywhere) if b & (CONTENT_BIT | FURNITURE_BIT))
+    both = np.array(bits, np.int64)
+    content = (both & CONTENT_BIT != 0).astype(np.float64)
+    return fit(np.concatenate([both, both & ~np.int64(_MARKUP_BITS)]), np.concatenate([content, content]))
+
+
+def with_bits(keys: list[int], bits: list[int], recurrent: list[int] | None, everywhere: set[int]) -> list[int]:
+    """Bits with what other pages tell: lines that recur."""
+    own = set(recurrent or ())
+    return [b | (BIT["everywhere"] if k in everywhere else BIT["on host"] if k in own else 0) for k, b in zip(keys, bits)]
+
+
 def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels (True: content) of least cost: a node against its score costs |score|, an edge cut its weight.
 
@@ -155,32 +223,34 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
     return [bool(x) for x in fixed]
 
 
-def kept_lines(title: str | None, parsed: list, mask, recurrent: set[int], everywhere: dict[int, float]) -> list[int]:
-    """Numbers of the lines of the article, of a page's parsed lines."""
-    lines = [x for x in parsed if x.text and not x.code]
-    if not lines:
+def kept_lines(numbers: list[int], bits: list[int], boxes: list[int], weights: np.ndarray, known: dict[int, float]) -> list[int]:
+    """Numbers of the lines of the article. ``known`` holds the scores of the bits met so far."""
+    if not numbers:
         return []
+    scores = []
+    for b in bits:
+        b &= (1 << len(MARKS)) - 1
+        s = known.get(b)
+        if s is None:
+            s = known[b] = float(weights[-1] + sum(weights[i] for i in range(len(MARKS)) if b >> i & 1))
+        scores.append(s)
     edges = []
-    for i, x in enumerate(lines[:-1]):
-        y = lines[i + 1]
-        edges.append((i, i + 1, NEAR if x.tags == y.tags and not y.gap else ACROSS))
-        if i + 2 < len(lines) and x.tags and x.tags == lines[i + 2].tags:
+    for i in range(len(numbers) - 1):
+        same = boxes[i] >> 1 == boxes[i + 1] >> 1
+        edges.append((i, i + 1, NEAR if same and not boxes[i + 1] & 1 else ACROSS))
+        if i + 2 < len(numbers) and boxes[i] >> 1 and boxes[i] >> 1 == boxes[i + 2] >> 1:
             edges.append((i, i + 2, SECOND))
-    label = min_cut(scores(lines, (title or "").strip(), mask, recurrent, everywhere), edges)
-    return [x.no for x, keep in zip(lines, label) if keep]
+    return [no for no, keep in zip(numbers, min_cut(scores, edges)) if keep]
 
 
-def _keep(everywhere: dict[int, float]):
+def _keep(everywhere, weights: np.ndarray):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, float] = {}
         for batch in batches:
-            tables, ids, hosts, titles, contents, lists = (batch.column(i).to_pylist() for i in range(6))
+            tables, ids, numbers, keys, bits, boxes, own = (batch.column(i).to_pylist() for i in range(7))
             out_table, out_id, out_line = [], [], []
-            for t, i, h, title, content, r in zip(tables, ids, hosts, titles, contents, lists):
-                mask, recurrent = masker(h), set(r or ())
-                parsed = lines_of(content or "")
-                if t == "crawl_results" and residue(title, content, recurrent, everywhere, mask, parsed):
-                    continue
-                lines = kept_lines(title, parsed, mask, recurrent, everywhere)
+            for t, i, no, k, b, x, r in zip(tables, ids, numbers, keys, bits, boxes, own):
+                lines = kept_lines(no, with_bits(k, b, r, everywhere.value), x, weights, known)
                 out_table += [t] * len(lines)
                 out_id += [i] * len(lines)
                 out_line += lines
@@ -192,16 +262,20 @@ def _keep(everywhere: dict[int, float]):
 def article_lines(crawls: DataFrame, evidence: DataFrame) -> DataFrame:
     """(record_table, record_id, line_no): the lines to keep of every text/html row.
 
-    Crawled pages that are no pages (see ``pages.residue``) are left out, as are null and empty
-    contents and rows with a null id.
+    Crawled pages that are no pages (see ``pages.residue_of``) are left out, as are null and empty
+    contents and rows with a null id. Every page is parsed once.
     """
-
-    def rows(df: DataFrame, name: str, ident: str) -> DataFrame:
-        url = F.coalesce(F.col("final_url"), F.col("url"))
-        return df.where(F.col(ident).isNotNull() & F.col("content").isNotNull()).select(F.lit(name).alias("record_table"), F.col(ident).cast("bigint").alias("id"), host_of(url).alias("host"), page_of(url).alias("page"), "title", "content", F.coalesce(F.lower(F.trim("content_type")).startswith("text/html"), F.lit(False)).alias("html"))
-
-    crawled = rows(crawls, "crawl_results", "crawl_id")
-    marked = rows(evidence, "evidence", "evidence_id").where("html")
-    everywhere, of_hosts = recurrent_lines(crawled.unionByName(marked))
-    pages = with_recurrent(crawled.where("html").unionByName(marked), of_hosts).select("record_table", "id", "host", "title", "content", "recurrent")
-    return pages.mapInArrow(_keep(everywhere), "record_table string, record_id bigint, line_no int")
+    folder = new_folder(crawls.sparkSession, "boilerplate")
+    html = F.coalesce(F.lower(F.trim("content_type")).startswith("text/html"), F.lit(False))
+    filled = crawls.withColumn("content", F.coalesce("content", F.lit("")))
+    rows = page_rows(filled, "crawl_results", "crawl_id").unionByName(page_rows(evidence.where(html), "evidence", "evidence_id"))
+    pages = parsed(rows, folder, marks_of)
+    crawled = pages.where("record_table = 'crawl_results'")
+    no_pages = residue_of(crawled, f"{folder}/residue").select(F.lit("crawl_results").alias("record_table"), F.col("crawl_id").alias("id"))
+    marked = crawls.where(html & F.col("crawl_id").isNotNull()).select(F.lit("crawl_results").alias("record_table"), F.col("crawl_id").cast("bigint").alias("id"))
+    everywhere, of_hosts = recurrent_lines(pages, folder)
+    judged = with_recurrent(pages.where(F.size("no") > 0), of_hosts)
+    weights = trained(judged, everywhere)
+    wanted = judged.where("record_table = 'evidence'").unionByName(judged.where("record_table = 'crawl_results'").join(marked.distinct(), ["record_table", "id"], "left_semi"), allowMissingColumns=True).join(no_pages, ["record_table", "id"], "left_anti")
+    general = pages.sparkSession.sparkContext.broadcast(frozenset(everywhere))
+    return wanted.select("record_table", "id", "no", "k", "bits", "box", "recurrent").mapInArrow(_keep(general, weights), "record_table string, record_id bigint, line_no int")

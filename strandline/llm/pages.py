@@ -1,19 +1,24 @@
 """Web pages by lines: markup, the lines that recur on a host or everywhere, template residue and
-error pages, and the article apart from the page's furniture."""
+error pages."""
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
-import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import new_folder, written
+
 # ---------------------------------------------------------------------------------------------
 # Lines of a page.
 
@@ -122,11 +127,94 @@ def sentence_like(text: str) -> bool:
 
 
 # ---------------------------------------------------------------------------------------------
-# Recurrent lines.
+# Parsed pages: every page is parsed once; what follows works on its lines' keys, weights, words and marks.
 
-#: A line recurs on a host if it is on this share of the host's pages, and on four at least; anywhere,
-#: if it is on this share of all pages, and on eight at least.
-HOST_SHARE, ALL_SHARE, LEAST_HOST, LEAST_ALL = 0.05, 0.004, 4, 8
+#: Per line: its number, key, weight as part of an article, bits (see below), and, where wanted, its words.
+PARSED = "record_table string, id bigint, host string, page bigint, title string, no array<int>, k array<bigint>, w array<int>, bits array<bigint>, box array<bigint>, words array<string>"
+#: Bits that do not depend on other pages. The others belong to ``boilerplate``.
+TAIL_BIT, PLACEHOLDER_BIT, TITLE_BIT = 1 << 40, 1 << 41, 1 << 42
+
+# Letters with their marks; Thai, kana and Chinese characters by runs, which are cut into short pieces.
+_WORDS = re.compile(
+    r"[^\W\d_\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff](?:[^\W\d_\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]|[\u0610-\u065f\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0962\u0963])*"
+    r"|[\u0e00-\u0e7f]+|[\u3040-\u30ff\u3400-\u9fff]+"
+)
+
+
+def words_in(masked: str) -> str:
+    """The distinct words of a normalised line, between blanks."""
+    if masked.isascii():
+        return " ".join(set(_ASCII_WORDS.findall(masked)))
+    out = set()
+    for x in _WORDS.findall(masked):
+        c = x[0]
+        if c < "\u0e00" or "\u0e80" <= c < "\u3040" or c > "\u9fff":
+            out.add(x)
+        else:
+            n = 3 if c <= "\u0e7f" else 2
+            out.update([x[i : i + n] for i in range(len(x) - n + 1)] or [x])
+    return " ".join(out)
+
+
+_ASCII_WORDS = re.compile("[a-z]+")
+
+
+def article_weight(text: str) -> int:
+    """Characters of a line that may be an article's: sentences and list items, not menus. Scripts without blanks count three times."""
+    if not (sentence_like(text) or _BULLET.match(text) and len(text) > 12):
+        return 0
+    parts = [p for p in _PARTS.split(text) if p]
+    if len(parts) > 1 and sum(map(len, parts)) < 40 * len(parts):
+        return 0
+    return len(text) * (3 if wide(text) else 1)
+
+
+def _parse(marks):
+    """``marks``: gives a page's line bits from (lines, masked texts, title, mask), or None where not wanted."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tables, ids, hosts, pages_, titles, contents = (batch.column(i).to_pylist() for i in range(6))
+            columns = [[] for _ in range(6)]
+            for t, h, title, content in zip(tables, hosts, titles, contents):
+                mask, crawled = masker(h), t == "crawl_results"
+                raw = content.split("\n")
+                lines = lines_of(content)
+                spoken = [x for x in lines if x.text and not x.code]
+                head = next((x for x in spoken if "h1" in x.tags), spoken[0] if spoken else None)
+                masked = [mask(x.text) for x in spoken]
+                bits = marks(spoken, masked, title or "", mask) if marks else [0] * len(spoken)
+                weight, words, tail = [], [], False
+                for i, x in enumerate(spoken):
+                    tail = tail or tail_heading(x.text)
+                    weight.append(0 if tail else article_weight(x.text))
+                    if tail:
+                        bits[i] |= TAIL_BIT
+                    if crawled:
+                        words.append("" if tail else words_in(masked[i]))
+                        source = raw[x.no - 1]
+                        if "<script" not in source and "<style" not in source and placeholder(_MARKUP.sub(" ", source) if "<" in source else source):
+                            bits[i] |= PLACEHOLDER_BIT
+                        if x is head and 6 < len(x.text) < 60 and DEFAULT_TITLE.match(x.text) and not _SITE_WORD.match(x.text):
+                            bits[i] |= TITLE_BIT
+                # placeholders that the markup hides stand for themselves
+                extra = [x for x in lines if crawled and not x.text and not x.code and placeholder(_MARKUP.sub(" ", raw[x.no - 1]))]
+                box = [hash_of(x.tags) if x.tags else 0 for x in spoken]
+                columns[0].append([x.no for x in spoken] + [x.no for x in extra])
+                columns[1].append([key(m) for m in masked] + [key(raw[x.no - 1]) for x in extra])
+                columns[2].append(weight + [0] * len(extra))
+                columns[3].append(bits + [PLACEHOLDER_BIT] * len(extra))
+                columns[4].append([b * 2 + x.gap for b, x in zip(box, spoken)] + [0] * len(extra))
+                columns[5].append(words + [""] * len(extra) if crawled else None)
+            kinds = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(5)], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["record_table", "id", "host", "page", "title", "no", "k", "w", "bits", "box", "words"])
+
+    return parse
+
+
+@lru_cache(maxsize=4096)
+def hash_of(tags: tuple[str, ...]) -> int:
+    return xxhash.xxh32_intdigest("\0".join(tags))
 
 
 def host_of(url: Column) -> Column:
@@ -138,49 +226,55 @@ def page_of(url: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), r"[?#].*$", ""), r"^[a-z]+://|/+$", ""))
 
 
-def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hosts, pages, contents = (batch.column(i).to_pylist() for i in range(3))
-        host, page, keys, after = [], [], [], []
-        for h, p, content in zip(hosts, pages, contents):
-            mask, seen = masker(h), set()
-            lines = [x for x in lines_of(content) if x.text and not x.code]
-            long = np.cumsum([sentence_like(x.text) and len(x.text) > 55 for x in lines][::-1])[::-1] if lines else []
-            total = int(long[0]) if len(lines) else 0
-            for i, x in enumerate(lines):
-                k = key(mask(x.text))
-                if k not in seen:
-                    seen.add(k)
-                    host.append(h)
-                    page.append(p)
-                    keys.append(k)
-                    after.append((int(long[i + 1]) if i + 1 < len(lines) else 0) / total if total else None)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(keys, pa.int64()), pa.array(after, pa.float32())], names=["host", "page", "k", "after"])
-
-
-def recurrent_lines(pages: DataFrame) -> tuple[dict[int, float], DataFrame]:
-    """Lines that recur anywhere, with the mean share of the page's paragraphs after them, and per host.
-
-    ``pages`` has host, page, content. A page counts once, however often it was fetched. The first is
-    bounded by the mean number of lines of a page divided by ALL_SHARE, a host's list by that divided
-    by HOST_SHARE; only the first comes to the driver.
-    """
-    lines = pages.select("host", "page", "content").mapInArrow(_line_keys, "host string, page bigint, k bigint, after float")
-    once = lines.groupBy("host", "page", "k").agg(F.avg("after").alias("after"))
-    by_host = once.groupBy("host", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("after").alias("after"), F.count("after").alias("known"))
-    sizes = pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    total = pages.select("page").distinct().count()
-    frequent = by_host.groupBy("k").agg(F.sum("n").alias("n"), F.sum("after").alias("after"), F.sum("known").alias("known")).where(F.col("n") >= max(LEAST_ALL, ALL_SHARE * total))
-    everywhere = {r["k"]: r["after"] / r["known"] if r["known"] else 0.5 for r in frequent.collect()}
-    of_hosts = by_host.join(sizes, "host").where(F.col("n") >= F.greatest(F.lit(LEAST_HOST), HOST_SHARE * F.col("pages"))).groupBy("host").agg(F.collect_list("k").alias("recurrent"))
-    return everywhere, of_hosts
+def page_rows(df: DataFrame, name: str, ident: str) -> DataFrame:
+    """(record_table, id, host, page, title, content) of the rows with an id and a content."""
+    url = F.coalesce(F.col("final_url"), F.col("url"))
+    return df.where(F.col(ident).isNotNull() & F.col("content").isNotNull()).select(F.lit(name).alias("record_table"), F.col(ident).cast("bigint").alias("id"), host_of(url).alias("host"), page_of(url).alias("page"), "title", "content")
 
 
-def with_recurrent(pages: DataFrame, of_hosts: DataFrame) -> DataFrame:
-    """Pages with their host's list of recurrent lines. The lists are sent whole only if there are few hosts."""
-    lists = of_hosts.persist()
-    few = lists.limit(5001).count() <= 5000
-    return pages.join(F.broadcast(lists) if few else lists, "host", "left")
+def parsed(pages: DataFrame, folder: str, marks=None) -> DataFrame:
+    """Every page parsed once, into the shared folder."""
+    return written(pages.mapInArrow(_parse(marks), PARSED), folder, "parsed")
+
+
+# ---------------------------------------------------------------------------------------------
+# Recurrent lines.
+
+#: A line recurs on a host if it is on this share of the host's pages, and on four at least; anywhere,
+#: if it is on this share of all pages, and on eight at least.
+HOST_SHARE, ALL_SHARE, LEAST_HOST, LEAST_ALL = 0.05, 0.004, 4, 8
+#: Hosts' lists of recurrent lines are broadcast up to this many bytes; beyond, they are joined by salted keys.
+BROADCAST_BYTES, SALTS = 32 << 20, 32
+
+
+def recurrent_lines(pages: DataFrame, folder: str) -> tuple[set[int], DataFrame]:
+    """Keys of the lines that recur anywhere, and (host, k) of those that recur on a host.
+
+    A page counts once, however often it was fetched. The first is bounded by the mean number of lines
+    of a page divided by ALL_SHARE, a host's keys by that divided by HOST_SHARE; only the first comes
+    to the driver. Lines are counted before they are shuffled by host, so a large host is no hot key.
+    """
+    once = pages.select("host", "page", F.explode(F.array_distinct("k")).alias("k")).distinct()
+    by_host = written(once.groupBy("host", "k").agg(F.count(F.lit(1)).alias("n")), folder, "by_host")
+    sizes = pages.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    total = pages.agg(F.countDistinct("page")).collect()[0][0]
+    frequent = by_host.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= max(LEAST_ALL, ALL_SHARE * total))
+    everywhere = {r["k"] for r in frequent.select("k").collect()}
+    of_hosts = by_host.join(sizes, "host").where(F.col("n") >= F.greatest(F.lit(LEAST_HOST), HOST_SHARE * F.col("pages"))).select("host", "k")
+    return everywhere, written(of_hosts, folder, "of_hosts")
+
+
+def with_recurrent(pages: DataFrame, of_hosts: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``pages`` with ``recurrent``, those of its keys that recur on its host. Lists of a checked size are
+    broadcast; longer ones are joined key by key, in salted groups, and only ids and keys are shuffled with them."""
+    known = of_hosts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("host")).alias("s")).collect()[0]
+    if 8 * known["n"] + (known["s"] or 0) <= most:
+        lists = of_hosts.groupBy("host").agg(F.collect_set("k").alias("recurrent"))
+        return pages.join(F.broadcast(lists), "host", "left").withColumn("recurrent", F.array_intersect("k", "recurrent"))
+    salted = of_hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keys = pages.select("record_table", "id", "host", F.explode(F.array_distinct("k")).alias("k")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    found = keys.join(salted, ["host", "k", "salt"]).groupBy("record_table", "id").agg(F.collect_set("k").alias("recurrent"))
+    return pages.join(found, ["record_table", "id"], "left")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -200,17 +294,6 @@ DEFAULT_TITLE = re.compile(
     r"|home ?page|default(?: page| title)?|lorem ipsum.*|test(?: page)?|sample (?:page|title)|hello world!?|loading(?:…|\.\.\.)?|portal|website|coming soon|under construction|headline(?: goes)? here|no title|sans titre|sem título|sin título|unbenannt(?:es dokument)?|ohne titel|без названия|безымянный|بدون عنوان|शीर्षक रहित|无标题(?:文档)?|無題|ไม่มีชื่อ|bila kichwa|hakuna kichwa)\W*$",
     re.I,
 )
-# What stands for a text that is still to come.
-FILLER = """asdf asdf|qwer qwer|xxxx xxx|content pending approval|text goes here|sample text|your text here|insert text|add text here|insert content|placeholder text|dummy text|content coming soon|content to be added
-здесь будет текст|текст-рыба|скоро здесь|texte à venir|texte à compléter|votre texte ici|contenu à venir|texto aqui|texto aquí|texto de ejemplo|texto de exemplo|texto de relleno|insira o texto|inserte el texto|conteúdo em breve|contenido próximamente|próximamente aquí
-hier steht ihr text|hier steht der text|hier folgt der text|hier kommt der text|hier entsteht|beispieltext|blindtext|inhalt folgt|maandishi yatakuja|weka maandishi|andika hapa|maudhui yanakuja|النص هنا|نص تجريبي|المحتوى قريبا|यहाँ पाठ|यहाँ टेक्स्ट|नमूना पाठ|सामग्री शीघ्र|此处为|此处填写|此处添加|在此输入|示例文本|内容待|内容即将|ここに本文|ここに文章|ここにテキスト|ダミーテキスト|サンプルテキスト|本文準備中|ใส่ข้อความ|ข้อความตัวอย่าง|เนื้อหาเร็ว""".replace("\n", "|").split("|")
-LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum vellis pellim".split())
-# Words of notices that scripts are needed, of blocks and of errors.
-NOTICE = """javascript|java script|scripts|scripting|script execution|noscript|client-side|your browser|this browser|navegador|navigateur|браузер|浏览器|ブラウザ|เบราว์เซอร์|المتصفح|متصفح|ब्राउज़र|kivinjari|сценари|скрипт|脚本|スクリプト|สคริปต์|स्क्रिप्ट
-the server|this server|upstream|gateway|your request|the request|too many requests|http status|access denied|access token|do not have permission|forbidden|blocked|robot|are human|captcha|unusual traffic|rate limit|sign in to|log in to|session|has expired|taken down|withdrawn|maintenance|back shortly|not found|could not be located|could not be found|does not exist|no longer available|no longer valid|no longer exists|nothing matched|try again|something went wrong|unexpected error|internal error|an error|error has|error 4|error 5|administrator|incident|request id|reference id|checking your|just a second|just a moment|enable cookies|switched off|switch it on|unavailable|temporarily|site offline|has moved|go back|start page|you typed|looking for|connection failed|database|timed out|bad gateway|410 gone
-o servidor|el servidor|le serveur|der server|pedido|solicitud|a página|la página|página não|página no|acesso negado|acceso denegado|accès refusé|autorisation|autorização|autorización|permissão|permiso|removida|eliminad|não existe|no existe|n’existe|introuvable|voltar ao|volver a|retour à|zurück zur|sessão|sesión|expirou|demande|la page|erreur|erro 4|erro 5|diese seite|seite nicht|die seite|anfrage|zugriff|berechtigung|fehler|existiert nicht|scripts activos|activar|skripte|aktivieren sie|activez
-ukurasa|seva im|ombi lako|hitilafu|kosa la|ruhusa|ufikiaji|rudi mwanzo|сервер|запрос|страниц|доступ|ошибк|на главную|робот|нет прав|الخادم|الطلب|الصفحة|خطأ|الوصول|العودة|صلاحية|جافا|सर्वर|अनुरोध|पृष्ठ|त्रुटि|अनुमति|सक्षम करें|服务器|请求|页面|访问|错误|返回首页|权限|サーバー|リクエスト|ページ|アクセス|エラー|トップへ|権限|有効にして|เซิร์ฟเวอร์|คำขอ|หน้านี้|หน้าที่|ข้อผิดพลาด|สิทธิ์|กลับ|โปรดเปิด|กรุณาเปิด""".replace("\n", "|").split("|")
-_NOTICE_WORD = re.compile(r"\b(?:js|ray [0-9a-f]{4,}|http \d{3}|code \d{3})\b|^\W*(?:error|erro|erreur|fehler)\W+\d+\W*$", re.I)
 # Headings of what follows the article: other articles, comments, tags.
 TAIL = frozenset(
     """most read|related stories|related articles|related|you may also like|more from this desk|editor’s picks|editor's picks|read also|read more|comments|what readers say|popular|trending|tags|recommended
@@ -224,100 +307,167 @@ def tail_heading(text: str) -> bool:
     return len(text) < 48 and _COUNTER.sub("", text).rstrip(" :：").lower() in TAIL
 
 
-def held(words: list[str], content: str) -> list[str]:
-    """Those of the words that a whole page holds: its lines need be searched for no others."""
-    low = content.lower().replace("'", "’")
-    return [w for w in words if w in low]
+_MAY_HOLD = re.compile(r"[{\[<%@_#]")
 
 
-def notice(text: str, words: list[str] = NOTICE) -> bool:
-    low = text.lower().replace("'", "’")
-    return any(w in low for w in words) or bool(_NOTICE_WORD.search(text))
+def placeholder(text: str) -> bool:
+    return bool(_MAY_HOLD.search(text)) and any(not _BRACKETED_WORDS.fullmatch(m[0]) for m in PLACEHOLDER.finditer(text))
 
 
-def filler(text: str, held_words: list[str] = FILLER) -> bool:
-    low = text.lower()
-    if any(w in low for w in held_words):
-        return True
-    words = _LATIN_WORDS.findall(low)
-    latin = sum(w in LATIN for w in words)
-    return latin >= 3 and latin >= 0.2 * len(words) or len(words) >= 12 and latin >= 2 and len(set(words)) < 0.75 * len(words)
+_MARKUP = re.compile(r"</?[a-z][^<>]*>")
+_SITE_WORD = re.compile(r"^\W*(?:portal|home ?page|website)", re.I)
 
 
-_LATIN_WORDS = re.compile(r"[a-z]+")
-_MAY_HOLD = re.compile(r"[{\[<%@_#]")
+#: A page has an article if its residual lines weigh this much, none if less than the other; between, its class is open.
+ARTICLE, NO_ARTICLE = 400, 150
+#: A word is evidence only if it is on this share of the pages without an article, and on three at least.
+SUPPORT, LEAST = 0.0005, 3
+#: Log-odds of a line's words: up to the first it may be an article's; above the second it is evidence. In the last
+#: round a word's odds count only if it tells an article, or a page without one by this much.
+ARTICLE_ODDS, EVIDENCE_ODDS, TELLING = 1.0, 2.0, 1.5
+ROUNDS = 2
+#: A page with so much of an article beside the evidence is a page.
+ENOUGH = 40
 
 
-def placeholder(text: str) -> bool:
-    return bool(_MAY_HOLD.search(text)) and any(not _BRACKETED_WORDS.fullmatch(m[0]) for m in PLACEHOLDER.finditer(text))
+def _score(words: str, odds: dict[str, float]) -> float:
+    return sum(map(odds.get, words.split(" "), _ZEROS)) if odds else 0.0
 
 
-_MARKUP = re.compile(r"</?[a-z][^<>]*>")
-_SITE_WORD = re.compile(r"^\W*(?:portal|home ?page|website)", re.I)
+_ZEROS = repeat(0.0)
+
+
+def article_of(weights: list[int], words: list[str], odds: dict[str, float], enough: int) -> int:
+    """Weight of the lines that may be an article's; no more is looked at once it is ``enough``."""
+    total = 0
+    for w, x in zip(weights, words):
+        if w and _score(x, odds) <= ARTICLE_ODDS:
+            total += w
+            if total >= enough:
+                break
+    return total
+
+
+def _words_without_article(odds):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            page, words = [], []
+            for p, w, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if article_of(w, x, odds.value, NO_ARTICLE) < NO_ARTICLE:
+                    found = {y for line in x for y in line.split(" ")}
+                    words += found
+                    page += [p] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(words, pa.string())], names=["page", "word"])
+
+    return emit
+
+
+def _words_beside_article(odds, wanted):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = Counter(), 0
+        for batch in batches:
+            for w, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if article_of(w, x, odds.value, ARTICLE) >= ARTICLE:
+                    n += 1
+                    counts.update(wanted.value.intersection(" ".join(x).split(" ")))
+        yield pa.RecordBatch.from_arrays([pa.array(["", *counts], pa.string()), pa.array([n, *counts.values()], pa.int64())], names=["word", "n"])
+
+    return emit
 
 
-def residue(title: str | None, content: str | None, recurrent: set[int], everywhere: dict[int, float], mask, parsed: list[Line] | None = None) -> str | None:
-    """Why a page isn't one: placeholder, title, filler or notice; None for pages with an article, and empty ones."""
+def evidence_words(residual: DataFrame) -> dict[str, float]:
+    """Log-odds of words: how much likelier a word is on pages without an article than beside one.
+
+    ``residual`` has page, w and words of the lines left when recurrent ones are subtracted. Nothing is
+    given but what an article weighs: messages of errors and blocks, notices that scripts are needed and
+    filler recur on pages without an article, in any language. A second round moves pages whose long
+    lines turned out to be made of such words (filler) to the others. Every page is counted; the words
+    that come to the driver are at most a page's mean number of words divided by SUPPORT.
+    """
+    sc = residual.sparkSession.sparkContext
+    odds: dict[str, float] = {}
+    for last in [False] * (ROUNDS - 1) + [True]:
+        known = sc.broadcast(odds)
+        without = residual.mapInArrow(_words_without_article(known), "page bigint, word string").distinct().persist(StorageLevel.DISK_ONLY)
+        pages = without.select("page").distinct().count()
+        rows = without.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(LEAST, SUPPORT * pages)).collect()
+        without.unpersist()
+        here = {r["word"]: r["n"] for r in rows}
+        wanted = sc.broadcast(frozenset(here))
+        beside = {r["word"]: r["n"] for r in residual.mapInArrow(_words_beside_article(known, wanted), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+        articles = beside.get("", 0)
+        odds = {x: math.log((n + 0.5) / (pages + 1)) - math.log((beside.get(x, 0) + 0.5) / (articles + 1)) for x, n in sorted(here.items())}
+        if last:
+            odds = {x: v for x, v in odds.items() if v < 0 or v > TELLING}
+    return odds
+
+
+def reason(title: str | None, bits: list[int], weights: list[int], words: list[str], odds: dict[str, float]) -> str | None:
+    """Why a page isn't one, from its title and the lines of its residual; None for pages with an article."""
     title = (title or "").strip()
-    bare = re.split(r"\s+[-–|]\s+", title)[0] if title else ""
-    if title and placeholder(title):
+    if title:
+        if placeholder(title):
+            return "placeholder"
+        if DEFAULT_TITLE.match(title) or DEFAULT_TITLE.match(re.split(r"\s+[-–|]\s+", title)[0]):
+            return "title"
+    every = 0
+    for b in bits:
+        every |= b
+    if every & PLACEHOLDER_BIT:
         return "placeholder"
-    if title and (DEFAULT_TITLE.match(title) or DEFAULT_TITLE.match(bare)):
+    if every & TITLE_BIT:
         return "title"
-    if not content or not content.strip():
-        return None
-    lines = [x for x in (lines_of(content) if parsed is None else parsed) if not x.code]
-    raw = content.split("\n")
-    for x in lines:
-        source = raw[x.no - 1]
-        if "<script" not in source and "<style" not in source and placeholder(_MARKUP.sub(" ", source) if "<" in source else source):
-            return "placeholder"
-    lines = [x for x in lines if x.text]
-    if not lines:
+    if article_of(weights, words, odds, ENOUGH) >= ENOUGH:
         return None
-    head = next((x for x in lines if "h1" in x.tags), lines[0])
-    if 6 < len(head.text) < 60 and not filler(head.text) and DEFAULT_TITLE.match(head.text) and not _SITE_WORD.match(head.text):
-        return "title"
-    article, told, fill, tail = 0, 0, 0, False
-    notices, fillers = held(NOTICE, content), held(FILLER, content)
-    for x in lines:
-        tail = tail or tail_heading(x.text)
-        if filler(x.text, fillers):
-            fill += 1
-        elif len(x.text) < 220 and notice(x.text, notices):
-            told += 1
-        elif not tail and (sentence_like(x.text) or _BULLET.match(x.text) and len(x.text) > 12) and not _PARTS.search(x.text[:200]):
-            k = key(mask(x.text))
-            if k not in recurrent and k not in everywhere:
-                article += len(x.text) * (3 if wide(x.text) else 1)
-        if article >= 400 and not fill:
-            return None
-    if fill and article < 200:
-        return "filler"
-    if article < 40 and (told or notice(title)):
-        return "notice"
-    return None
-
-
-def _judge(everywhere: dict[int, float]):
+    return "evidence" if any(_score(x, odds) > EVIDENCE_ODDS for x in words) else None
+
+
+def _judge(odds):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hosts, titles, contents, lists = (batch.column(i).to_pylist() for i in range(5))
-            why = [residue(t, c, set(r or ()), everywhere, masker(h)) for h, t, c, r in zip(hosts, titles, contents, lists)]
-            keep = [w is not None for w in why]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pa.array([w for w in why if w], pa.string())], names=["id", "reason"])
+            why = [reason(*row, odds.value) for row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)))]
+            keep = pa.array([w is not None for w in why])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array([w for w in why if w], pa.string())], names=["crawl_id", "reason"])
 
     return judge
 
 
+def residual_of(pages: DataFrame, everywhere: set[int]) -> DataFrame:
+    """(id, page, title, w, words, bits) of parsed pages with ``recurrent``, without the recurrent lines."""
+    sc = pages.sparkSession.sparkContext
+    general = sc.broadcast(frozenset(everywhere))
+
+    def subtract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[], [], []]
+            for ks, w, words, bits, own in zip(*(batch.column(i).to_pylist() for i in range(3, 8))):
+                gone = general.value.union(own or ()) if own else general.value
+                left = [i for i, k in enumerate(ks) if k not in gone]
+                out[0].append([w[i] for i in left])
+                out[1].append([words[i] for i in left])
+                out[2].append([bits[i] for i in left])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.string())), pa.array(out[2], pa.list_(pa.int64()))], names=["id", "page", "title", "w", "words", "bits"])
+
+    return pages.select("id", "page", "title", "k", "w", "words", "bits", "recurrent").mapInArrow(subtract, "id bigint, page bigint, title string, w array<int>, words array<string>, bits array<bigint>")
+
+
+def residue_of(pages: DataFrame, folder: str) -> DataFrame:
+    """(crawl_id, reason) of parsed crawled pages. Boilerplate is what recurs beside articles, so that the
+    message of an error is left however many of a host's pages are errors."""
+    articles = pages.where(F.aggregate("w", F.lit(0), lambda a, x: a + x) >= ARTICLE)
+    everywhere, of_hosts = recurrent_lines(articles, folder)
+    residual = written(residual_of(with_recurrent(pages, of_hosts), everywhere), folder, "residual")
+    odds = residual.sparkSession.sparkContext.broadcast(evidence_words(residual.select("page", "w", "words")))
+    return residual.select("id", "title", "bits", "w", "words").mapInArrow(_judge(odds), "crawl_id bigint, reason string")
+
+
 def residue_pages(crawls: DataFrame) -> DataFrame:
     """(crawl_id, reason) of pages that are template residue, filler, errors, blocks or script notices.
 
     Null or empty content is judged by its title alone. Rows with a null crawl_id are left out; a
-    repeated crawl_id gives one row per reason.
+    repeated crawl_id gives one row per reason. In small tables words with fewer than ``LEAST`` pages
+    are no evidence, so the few errors that they hold may stay.
     """
-    url = F.coalesce(F.col("final_url"), F.col("url"))
-    pages = crawls.where("crawl_id is not null").select(F.col("crawl_id").cast("bigint").alias("id"), host_of(url).alias("host"), page_of(url).alias("page"), "title", "content")
-    everywhere, of_hosts = recurrent_lines(pages.where("content is not null"))
-    rows = with_recurrent(pages, of_hosts).select("id", "host", "title", "content", "recurrent")
-    return rows.mapInArrow(_judge(everywhere), "id bigint, reason string").distinct().select(F.col("id").alias("crawl_id"), "reason")
+    folder = new_folder(crawls.sparkSession, "pages")
+    filled = crawls.withColumn("content", F.coalesce("content", F.lit("")))
+    return residue_of(parsed(page_rows(filled, "crawl_results", "crawl_id"), folder), folder).distinct()

@@ -3,6 +3,8 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandline.llm import boilerplate, pages
@@ -11,20 +13,63 @@ ARTICLE = "The council approved the new line on Tuesday after a debate of three
 MASK = pages.masker("www.town-news.example")
 
 
-def why(title, content):
-    return pages.residue(title, content, set(), {}, MASK)
+def bits_of(title, content):
+    rows = pa.RecordBatch.from_arrays([pa.array([x]) for x in ("crawl_results", 1, "www.town-news.example", 1, title, content)], names=list("abcdef"))
+    out = next(pages._parse(None)([rows])).to_pylist()[0]
+    return title, out["bits"], out["w"], out["words"]
 
 
 @pytest.mark.parametrize(
     "title,content,want",
     [
-        ("{{page.title}}", ARTICLE * 3, "placeholder"), ("Good", ARTICLE * 3 + "Dear __FIRST_NAME__, hello.", "placeholder"), ("Untitled document", ARTICLE * 3, "title"), ("Good", "Lorem ipsum dolor sit amet, consectetur elit.", "filler"),
-        ("Good", "Please enable JavaScript in your browser to see this page.", "notice"), ("404 Not Found", "Page not found\nThe page does not exist.", "notice"), ("Good", ARTICLE * 3 + "This video player requires JavaScript.", None),
-        ("Access denied: residents and the road", ARTICLE * 3, None), ("Good", "<html><script>var a = {page: \"${v}\"};</script>\n<p>" + ARTICLE * 3 + "</p>", None), ("Good", None, None), ("Good", "  ", None), (None, None, None), ("Good", "He wrote “sic” [sic] twice. " + ARTICLE * 3, None),
+        ("{{page.title}}", ARTICLE * 3, "placeholder"), ("Good", ARTICLE * 3 + "Dear __FIRST_NAME__, hello.", "placeholder"), ("Untitled document", ARTICLE * 3, "title"), ("Good", ARTICLE * 3 + "This video player requires JavaScript.", None),
+        ("Access denied: residents and the road", ARTICLE * 3, None), ("Good", "<html><script>var a = {page: \"${v}\"};</script>\n<p>" + ARTICLE * 3 + "</p>", None), ("Good", "", None), (None, "", None), ("Good", "He wrote “sic” [sic] twice. " + ARTICLE * 3, None),
+        ("Good", "<p>Dear <b>{{ name }}</b></p>", "placeholder"),
     ],
 )
-def test_residue(title, content, want):
-    assert why(title, content) == want
+def test_reason(title, content, want):
+    assert pages.reason(*bits_of(title, content), {}) == want
+
+
+def corpus():
+    """Articles of random words, and messages that recur on pages without an article, in no known language."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abdegiklmnoprstuv") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    said = lambda n: " ".join(rng.choices(vocabulary, k=n)).capitalize() + "."
+    rows = []
+    for i in range(90):
+        host = f"http://h{i % 6}.example"
+        frame = ["Dum | Ko | Ra | Fi", "{}", "Fenu palo mira dosu kela."]
+        if i % 3:
+            text = "\n".join(said(14) for _ in range(5))
+        else:
+            text = rng.choice(["Zuxq wolf yacht jinx for quay 404.", "Yacht wolf jinx; zuxq the quay.", "Quay zuxq, wolf jinx yacht {} and fjord.".format(rng.randint(1, 99))])
+        if i == 31:
+            text += "\nZuxq wolf yacht jinx for quay 404."  # a mention beside an article
+        rows.append((i, f"{host}/{i}", f"{said(2)} {i}", "\n".join(frame).format(text)))
+    return rows
+
+
+def test_evidence_is_learned_from_recurrence(spark):
+    df = spark.createDataFrame(corpus(), "crawl_id long, url string, title string, content string").selectExpr("*", "url as final_url")
+    got = {r["crawl_id"]: r["reason"] for r in pages.residue_pages(df).collect()}
+    assert got == {i: "evidence" for i in range(0, 90, 3)}
+
+
+def test_long_lists_of_hosts_give_the_same(spark, tmp_path):
+    df = spark.createDataFrame(corpus(), "crawl_id long, url string, title string, content string").selectExpr("*", "url as final_url")
+    rows = pages.parsed(pages.page_rows(df, "crawl_results", "crawl_id"), str(tmp_path))
+    _, hosts = pages.recurrent_lines(rows, str(tmp_path))
+    both = [{(r["id"], tuple(sorted(r["recurrent"] or ()))) for r in pages.with_recurrent(rows, hosts, most).collect()} for most in (pages.BROADCAST_BYTES, 0)]
+    assert both[0] == both[1] and len(both[0]) == 90 and any(r for _, r in both[0])
+
+
+def test_fit_follows_labels_and_else_the_prior():
+    names = list(boilerplate.MARKS)
+    assert list(boilerplate.fit(np.zeros(0, np.int64), np.zeros(0))[:-1]) == list(boilerplate.MARKS.values())
+    bits = np.array([boilerplate.BIT["sentence"], boilerplate.BIT["menu"], boilerplate.BIT["copyright"]] * 200, np.int64)
+    w = boilerplate.fit(bits, (bits != boilerplate.BIT["menu"]).astype(float))
+    assert w[names.index("copyright")] + w[-1] > 0 > w[names.index("menu")] + w[-1] and w[names.index("title")] == 6
 
 
 def test_min_cut_equals_brute_force():
@@ -50,13 +95,11 @@ def test_article_lines(spark):
     assert boilerplate.article_lines(crawls.where("false"), evidence.where("false")).count() == 0
 
 
-def test_recurrent_lines_count_pages_once(spark):
+def test_recurrent_lines_count_pages_once(spark, tmp_path):
     rows = [(i, f"http://h.example/{i % 10}?utm_source=x{i}", f"Line {i % 10} of its own kind, long enough to count as a sentence here.\nPrivacy policy") for i in range(50)]
-    df = spark.createDataFrame(rows, "id long, url string, content string")
-    from pyspark.sql import functions as F
-
-    everywhere, hosts = pages.recurrent_lines(df.select(pages.host_of(F.col("url")).alias("host"), pages.page_of(F.col("url")).alias("page"), "content"))
-    assert set(everywhere) == {pages.key(MASK("Privacy policy"))} and hosts.collect()[0]["recurrent"] == [pages.key(MASK("Privacy policy"))]
+    df = spark.createDataFrame(rows, "id long, url string, content string").selectExpr("*", "url as final_url", "'' as title")
+    everywhere, hosts = pages.recurrent_lines(pages.parsed(pages.page_rows(df, "crawl_results", "id"), str(tmp_path)), str(tmp_path))
+    assert everywhere == {pages.key(MASK("Privacy policy"))} and [r["k"] for r in hosts.collect()] == [pages.key(MASK("Privacy policy"))]
 
 
 def test_residue_pages(spark):
