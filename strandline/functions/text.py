@@ -1,14 +1,12 @@
-"""Text functions as column expressions. All run in the JVM except ``decomposed``."""
+"""Text functions as column expressions. All run in the JVM."""
 
 from __future__ import annotations
 
-import html
+import html.entities
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: White space as the regular expressions of most languages have it, no-break blanks included.
 WS = r"[\s\p{Z}]"
@@ -40,20 +38,28 @@ def unaccented(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, _ACCENTED, _BASE), "[̀-ͯ]", "")
 
 
-@F.pandas_udf(T.StringType())
-def _decompose(c: pd.Series) -> pd.Series:
-    return c.map(lambda s: None if s is None else unicodedata.normalize("NFD", html.unescape(s)))
+def _entities() -> dict[str, str]:
+    return {f"&{name};": chr(code) for name, code in html.entities.name2codepoint.items()} | {"&apos;": "'"}
 
 
-def decomposed(c: Column) -> Column:
-    """HTML entities decoded, accents apart from letters; only texts that need it leave the JVM."""
-    return F.when(c.rlike(r"[^\x00-\x7F]|&[#a-zA-Z]"), _decompose(c)).otherwise(c)
+def decoded(c: Column) -> Column:
+    """HTML entities as the characters they stand for, by name or number; others stay as they are."""
+    known = F.create_map(*[F.lit(x) for pair in _entities().items() for x in pair])
+
+    def one(t: Column) -> Column:
+        digits = F.regexp_extract(t, "^&#[xX]?([0-9a-fA-F]{1,6});$", 1)
+        code = F.when(t.rlike("^&#[xX]"), F.conv(digits, 16, 10).try_cast("bigint")).when(t.rlike("^&#[0-9]{1,6};"), digits.try_cast("bigint"))
+        char = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(F.try_element_at(known, t), char, t)
+
+    tokens = F.regexp_extract_all(c, F.lit("(&#?[0-9a-zA-Z]+;|[^&]+|&)"), 1)
+    return F.when(c.contains("&"), F.array_join(F.transform(tokens, one), "")).otherwise(c)
 
 
 def name_form(c: Column) -> Column:
-    """An entity name's normal form, from its decomposed text: dashes, quotation marks, possessives,
+    """An entity name's normal form: entities decoded, accents dropped; dashes, quotation marks, possessives,
     blanks and closing punctuation evened out, lower case. Null gives an empty string."""
-    x = F.coalesce(c, F.lit(""))
+    x = unaccented(decoded(F.coalesce(c, F.lit(""))))
     x = F.regexp_replace(x, "[-–—]+", "-")
     x = F.regexp_replace(x, "^[\\s\"“”'’ʼ]+|[\\s\"“”'’ʼ]+$", "")
     x = F.regexp_replace(x, '["“”]', "")
@@ -64,11 +70,15 @@ def name_form(c: Column) -> Column:
 
 
 def match_form(c: Column) -> Column:
-    """The form in which names are compared: normal form without parentheses, accents and punctuation."""
-    x = name_form(unaccented(c))
-    x = F.regexp_replace(x, r"\([^)]*\)", "")
-    x = F.regexp_replace(x, r"[-\[\](){}]", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, "[^a-z0-9\\s]", ""), r"\s+", " "))
+    """The form in which names are compared: normal form with blanks for what is in parentheses and for punctuation."""
+    x = F.regexp_replace(name_form(c), r"\([^)]+\)", " ")
+    return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
+
+
+def title_case(c: Column) -> Column:
+    """Every run of letters with a capital first letter, also after hyphens and apostrophes; marks belong to the letter before them."""
+    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}[\p{L}\p{M}]*|\P{L}+)"), 1)
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), "")
 
 
 def nonempty(c: Column) -> Column:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from strandline.functions import text
 from strandline.operators import dedup, graph, resolve
 from strandline.plans import sql
-from strandline.seq import first_per_key, ordered
+from strandline.seq import first_per_key, numbered, ordered
 from strandline.session import table
+from strandline.sources import readers
+from strandline.streaming import queue
 
 QUERIES, SQL = {}, {}
 
@@ -45,7 +47,7 @@ def registry_build(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.registry(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_name").alias("name")))
 
 
-_MENTIONS = "(SELECT DISTINCT subject AS mention FROM atomic_claims WHERE subject IS NOT NULL AND NOT contains(subject, '&'))"
+_MENTIONS = "(SELECT DISTINCT subject AS mention FROM atomic_claims WHERE subject IS NOT NULL)"
 
 
 def _split(x: str) -> str:
@@ -61,7 +63,7 @@ r AS (SELECT *, CASE WHEN coalesce(key, '') = '' THEN 0 WHEN c1 > 1 THEN 1 WHEN
 SELECT mention, CASE WHEN rule IN (1, 4) THEN 'AMBIGUOUS' WHEN rule IN (2, 3, 5) THEN 'RESOLVED' ELSE 'NEW_ENTITY' END AS state, CASE rule WHEN 2 THEN u1 WHEN 3 THEN u2 WHEN 5 THEN u3 END AS uid,
  CAST(CASE WHEN rule IN (1, 2) THEN 1.0 WHEN rule = 3 THEN 0.95 WHEN rule IN (4, 5) THEN 0.9 ELSE 0.0 END AS DOUBLE) AS confidence FROM r""")
 def resolve_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    mentions = table(spark, sf, "atomic_claims").where("subject is not null and not contains(subject, '&')").select(F.col("subject").alias("mention"))
+    mentions = table(spark, sf, "atomic_claims").where("subject is not null").select(F.col("subject").alias("mention"))
     return resolve.resolve(mentions, table(spark, sf, "canonical_nodes"))
 
 
@@ -81,24 +83,7 @@ def claim_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT subject, seq, 'claim_' || lpad(CAST(row_number() OVER (PARTITION BY subject ORDER BY seq) AS VARCHAR), 6, '0') AS claim_no FROM atomic_claims WHERE coalesce(subject, '') <> ''")
 def claim_sequence_ids(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "atomic_claims").where("coalesce(subject, '') <> ''")
-    n = F.row_number().over(Window.partitionBy("subject").orderBy("seq"))
-    return rows.select("subject", "seq", F.concat(F.lit("claim_"), F.lpad(n.cast("string"), 6, "0")).alias("claim_no"))
-
-
-_TYPES = ("ATTRIBUTE", "RELATIONSHIP", "ASSOCIATION", "SUMMARY", "FACT")
-
-
-@query("SELECT subject, " + ", ".join(f"count(*) FILTER (evidence_type = '{t}') AS n_{t.lower()}" for t in _TYPES) + ", arg_min(object, seq) FILTER (evidence_type = 'ATTRIBUTE' AND object IS NOT NULL) AS first_attribute FROM atomic_claims WHERE subject IS NOT NULL GROUP BY subject")
-def field_selection(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "atomic_claims").where("subject is not null")
-    counts = [F.count(F.when(F.col("evidence_type") == t, 1)).alias(f"n_{t.lower()}") for t in _TYPES]
-    return rows.groupBy("subject").agg(*counts, F.min_by("object", F.when((F.col("evidence_type") == "ATTRIBUTE") & F.col("object").isNotNull(), F.col("seq"))).alias("first_attribute"))
-
-
-@query("SELECT evidence_type, predicate, count(*) AS n, count(DISTINCT object) AS targets, count(DISTINCT subject) AS subjects FROM atomic_claims WHERE predicate IS NOT NULL GROUP BY ALL")
-def claim_route(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "atomic_claims").where("predicate is not null")
-    return rows.groupBy("evidence_type", "predicate").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("object").alias("targets"), F.countDistinct("subject").alias("subjects"))
+    return numbered(rows.select("subject", "seq"), ["subject"], "seq", "n").select("subject", "seq", F.concat(F.lit("claim_"), F.lpad(F.col("n").cast("string"), 6, "0")).alias("claim_no"))
 
 
 _VERBS = "owns|supplies|operates|regulates|coordinates|publishes|signed|sold|funds|acquired|replaced|is a member of|is part of|is based in|reports to"
@@ -196,8 +181,7 @@ def search_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT evidence_id, source, query, row_number() OVER (PARTITION BY source, query ORDER BY evidence_id) AS rank FROM evidence")
 def provider_rank(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "evidence")
-    return rows.select("evidence_id", "source", "query", F.row_number().over(Window.partitionBy("source", "query").orderBy("evidence_id")).cast("bigint").alias("rank"))
+    return numbered(table(spark, sf, "evidence").select("evidence_id", "source", "query"), ["source", "query"], "evidence_id", "rank")
 
 
 @query("""WITH v AS (SELECT uid, entity AS q, 1.0 AS w, 1 AS o FROM canonical_nodes UNION ALL SELECT uid, entity || ' ' || country, 0.8, 2 FROM canonical_nodes UNION ALL SELECT uid, entity || ' ' || sector, 0.7, 3 FROM canonical_nodes
@@ -242,17 +226,20 @@ def queue_new_names(spark: SparkSession, sf: str) -> DataFrame:
     return new.groupBy(F.col("name").alias("queued")).agg(F.min("id").alias("first_id"))
 
 
-@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS transitions, max(ts) AS at FROM events GROUP BY user_id")
+#: States of a queue that the events' types stand for.
+_STATE_OF = dict(zip(("view", "click", "signup", "purchase", "error"), ("PENDING", "PROCESSING", "COMPLETED", "SKIPPED", "ERROR")))
+
+
+@query("WITH s AS (SELECT user_id AS key, ts, CASE event_type " + " ".join(f"WHEN '{e}' THEN '{x}'" for e, x in _STATE_OF.items()) + f" END AS state FROM events) SELECT key, arg_max(state, (ts, list_position({list(queue.STATES)}, state))) AS state, max(ts) AS ts FROM s GROUP BY key")
 def queue_state_latest(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events")
-    return rows.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count(F.lit(1)).alias("transitions"), F.max("ts").alias("at"))
+    known = F.create_map(*[F.lit(x) for pair in _STATE_OF.items() for x in pair])
+    return queue.last_states(table(spark, sf, "events").select(F.col("user_id").alias("key"), known[F.col("event_type")].alias("state"), "ts"))
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(len(json_keys(props)) AS INTEGER) AS n_keys FROM events")
 def intake_map_cell(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events")
-    cell = F.from_json("props", "map<string,string>")
-    return rows.select("event_id", F.try_element_at(cell, F.lit("k")).try_cast("bigint").alias("k"), F.size(cell).alias("n_keys"))
+    rows = table(spark, sf, "events").select("event_id", readers.map_cell(F.col("props")).alias("cell"))
+    return rows.select("event_id", F.try_element_at("cell", F.lit("k")).try_cast("bigint").alias("k"), F.size("cell").alias("n_keys"))
 
 
 @query("SELECT trim(entity_id) AS id, snapshot_no, len(coalesce(source_ids, [])) AS n_sources, len(coalesce(source_ids, [])) IS DISTINCT FROM source_count AS corrected, coalesce(TRY_CAST(replace(replace(extracted_at, 'T', ' '), 'Z', '') AS TIMESTAMP), NULL) AS extracted FROM rita_entities")

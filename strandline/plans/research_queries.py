@@ -24,29 +24,10 @@ def query(statement: str | None = None):
     return add
 
 
-def title_case(c: Column) -> Column:
-    """Every run of letters with a capital first letter, also after hyphens and apostrophes."""
-    runs = F.regexp_extract_all(c, F.lit(r"([A-Za-z]+|[^A-Za-z]+)"), 1)
-    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), "")
-
-
-@query("SELECT DISTINCT subject, array_to_string(list_transform(regexp_extract_all(subject, '[A-Za-z]+|[^A-Za-z]+'), lambda x: upper(x[1:1]) || lower(x[2:])), '') AS titled FROM atomic_claims WHERE subject IS NOT NULL AND NOT regexp_matches(subject, '[^\\x00-\\x7F]')")
+@query(r"SELECT DISTINCT subject, array_to_string(list_transform(regexp_extract_all(subject, '\p{L}[\p{L}\p{M}]*|\P{L}+'), lambda x: upper(x[1:1]) || lower(x[2:])), '') AS titled FROM atomic_claims WHERE subject IS NOT NULL")
 def title_targets(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "atomic_claims").where(F.col("subject").isNotNull() & ~F.col("subject").rlike(r"[^\x00-\x7F]")).select("subject").distinct()
-    return rows.select("subject", title_case(F.col("subject")).alias("titled"))
-
-
-def title_all(c: Column) -> Column:
-    """``title_case`` over the letters of any script; marks belong to the letter before them."""
-    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}[\p{L}\p{M}]*|\P{L}+)"), 1)
-    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), "")
-
-
-@query()
-def title_targets_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``title_targets`` without its SQL's limit to subjects in ASCII."""
     rows = table(spark, sf, "atomic_claims").where("subject is not null").select("subject").distinct()
-    return rows.select("subject", title_all(F.col("subject")).alias("titled"))
+    return rows.select("subject", text.title_case(F.col("subject")).alias("titled"))
 
 
 @query("""SELECT evidence_id, i AS chunk_index, n + 1 AS total_chunks, length(substring(content, i * 900 + 1, 1000)) AS n_chars, sha256(substring(content, i * 900 + 1, 1000)) AS digest FROM
@@ -75,17 +56,6 @@ _GATE = ["CASE WHEN coalesce(trim(subject), '') = '' THEN 'subject' END", "CASE
          "CASE WHEN length(evidence_passage) > 1000 THEN 'long_passage' END", "CASE WHEN coalesce(trim(source_url), '') = '' THEN 'url' END", "CASE WHEN length(trim(object)) = 1 THEN 'single_letter' END", "CASE WHEN regexp_matches(claim_text, '^\\p{Ll}') THEN 'fragment' END"]
 
 
-@query(f"SELECT problem, count(*) AS n FROM (SELECT unnest(list_concat(list_filter([{', '.join(_GATE)}], lambda x: x IS NOT NULL), ['checked'])) AS problem FROM atomic_claims) GROUP BY problem")
-def claim_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """How many claims fail each check of form; ``checked`` counts all."""
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    found = F.array_compact(F.array(
-        F.when(blank("subject"), "subject"), F.when(blank("predicate"), "predicate"), F.when(blank("object"), "object"), F.when(blank("evidence_passage"), "passage"), F.when(F.length("evidence_passage") > 1000, "long_passage"),
-        F.when(blank("source_url"), "url"), F.when(F.length(F.trim("object")) == 1, "single_letter"), F.when(F.col("claim_text").rlike(r"^\p{Ll}"), "fragment"), F.lit("checked"),
-    ))
-    return table(spark, sf, "atomic_claims").select(F.explode(found).alias("problem")).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""WITH r AS (SELECT subject, claim_text, row_number() OVER (PARTITION BY subject ORDER BY coalesce(confidence, 0) DESC, length(claim_text) DESC, seq) AS k FROM atomic_claims WHERE coalesce(subject, '') <> '' AND claim_text IS NOT NULL)
 SELECT subject, string_agg(claim_text, '. ' ORDER BY k) AS summary FROM r WHERE k <= 3 GROUP BY subject""")
 def summary_claims(spark: SparkSession, sf: str) -> DataFrame:

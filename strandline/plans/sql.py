@@ -16,13 +16,13 @@ def squeeze(x: str) -> str:
 
 
 def name_form(x: str) -> str:
-    x = replaced(f"coalesce({x}, '')", ("[-–—]+", "-"), ("^[\\s\"“”'’ʼ]+|[\\s\"“”'’ʼ]+$", ""), ('["“”]', ""), ("(?i)['’ʼ]s\\b", ""))
+    x = f"strip_accents({replaced(f"coalesce({x}, '')", ('&apos;|&#39;', "'"), ('&quot;', '"'), ('&nbsp;', ' '), ('&amp;', '&'))})"
+    x = replaced(x, ("[-–—]+", "-"), ("^[\\s\"“”'’ʼ]+|[\\s\"“”'’ʼ]+$", ""), ('["“”]', ""), ("(?i)['’ʼ]s\\b", ""))
     return f"lower(trim({replaced(squeeze(x), ('[.,;:!?]+$', ''))}))"
 
 
 def match_form(x: str) -> str:
-    x = replaced(name_form(f"strip_accents({x})"), (r"\([^)]*\)", ""), (r"[-\[\](){}]", " "), (r"[^a-z0-9\s]", ""), (r"\s+", " "))
-    return f"trim({x})"
+    return f"trim({replaced(name_form(x), (r'\([^)]+\)', ' '), ('[^a-z0-9]+', ' '))})"
 
 
 def acronym_in(x: str) -> str:
@@ -90,3 +90,7 @@ def front_value(x: str, key: str) -> str:
     found = f"regexp_extract_all(coalesce(regexp_extract({x}, '{FRONT}', 1), ''), '(?m)^[ \\t]*{key}[ \\t]*:[ \\t]*([^\\n]*?)[ \\t]*$', 1)"
     quotes = "^[\"'']+|[\"'']+$"
     return f"(CASE WHEN len({found}) > 0 THEN (CASE WHEN {found}[-1] IN ('null', 'Null', 'NULL') THEN '' ELSE regexp_replace({found}[-1], '{quotes}', '', 'g') END) END)"
+
+
+def body(x: str) -> str:
+    return replaced(f"regexp_replace({x}, '{FRONT.replace('(.*?)', '.*?')}', '')", (r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))

@@ -10,6 +10,7 @@ from strandline.operators import dedup, quality
 from strandline.plans import sql
 from strandline.seq import first_per_key, ordered
 from strandline.session import table
+from strandline.sources import readers
 
 QUERIES, SQL = {}, {}
 
@@ -124,19 +125,20 @@ def quality_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH p AS (SELECT crawl_id, {sql.identity('final_url')} AS url_key, {sql.fingerprint('content')} AS fp, {_QUALITY_SQL} AS quality, retrieval_status FROM crawl_results),
 u AS (SELECT * FROM p WHERE url_key <> '' AND {_STATUS_SQL} <> 'unusable'),
 f AS (SELECT url_key, min(crawl_id) AS crawl_id, arg_min(fp, crawl_id) AS fingerprint FROM u GROUP BY url_key)
-SELECT fingerprint, min(crawl_id) AS crawl_id, count(*) AS n_urls, string_agg(url_key, ' ' ORDER BY crawl_id, url_key) AS urls FROM f GROUP BY fingerprint""")
+SELECT fingerprint, min(crawl_id) OVER (PARTITION BY fingerprint) AS page_id, count(*) OVER (PARTITION BY fingerprint) AS n_urls, crawl_id, url_key FROM f""")
 def distinct_usable_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """The distinct usable pages, and the addresses that each was found under, in order of discovery."""
+    """The distinct usable pages, one row per address that each was found under; ``page_id`` is the first discovery."""
     rows = table(spark, sf, "crawl_results").withColumn("quality", quality.extraction_quality(F.col("content")))
     rows = rows.select("crawl_id", urls.identity(F.col("final_url")).alias("url_key"), text.fingerprint(F.col("content")).alias("fp"), quality.evidence_status(F.col("quality"), F.col("retrieval_status")).alias("status"))
     first = rows.where("url_key <> '' and status <> 'unusable'").groupBy("url_key").agg(F.min("crawl_id").alias("crawl_id"), F.min_by("fp", "crawl_id").alias("fingerprint"))
-    return first.groupBy("fingerprint").agg(F.min("crawl_id").alias("crawl_id"), F.count(F.lit(1)).alias("n_urls"), F.array_join(ordered(F.col("url_key"), F.col("crawl_id")), " ").alias("urls"))
+    pages = first.groupBy("fingerprint").agg(F.min("crawl_id").alias("page_id"), F.count(F.lit(1)).alias("n_urls"))
+    return first.join(pages, "fingerprint").select("fingerprint", "page_id", "n_urls", "crawl_id", "url_key")
 
 
-@query(f"SELECT name, {sql.match_form('name')} AS match_form, lower(strip_accents({sql.name_form('name')})) AS form FROM (SELECT DISTINCT name FROM rita_entities WHERE NOT contains(name, '&'))")
+@query(f"SELECT name, {sql.match_form('name')} AS match_form, {sql.name_form('name')} AS form FROM (SELECT DISTINCT name FROM rita_entities)")
 def name_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "rita_entities").where(~F.col("name").contains("&")).select("name").distinct()
-    return rows.select("name", text.match_form(F.col("name")).alias("match_form"), text.unaccented(text.name_form(text.decomposed(F.col("name")))).alias("form"))
+    rows = table(spark, sf, "rita_entities").select("name").distinct()
+    return rows.select("name", text.match_form(F.col("name")).alias("match_form"), text.name_form(F.col("name")).alias("form"))
 
 
 _NAMES_SQL = "(SELECT DISTINCT name FROM (SELECT entity AS name FROM canonical_nodes UNION ALL SELECT unnest(aliases) FROM canonical_nodes) WHERE name IS NOT NULL)"
@@ -195,19 +197,21 @@ def redact_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5(r).alias("digest"), F.length(r).cast("bigint").alias("n_chars"))
 
 
-_FRONT_SQL = ", ".join(f"{sql.front_value('text', k)} AS fm_{k}" for k in ("title", "entity"))
+_FRONT_SQL = ", ".join(f"{sql.front_value('text', k)} AS fm_{k}" for k in readers.TITLE_KEYS)
+_TITLE_SQL = ", ".join(f"nullif(fm_{k}, '')" for k in readers.TITLE_KEYS)
 
 
-@query(f"""SELECT doc_id, fm_title, fm_entity, coalesce(nullif(fm_title, ''), nullif(fm_entity, ''), nullif(regexp_extract(text, '(?m)^#\\s+(.*)$', 1), ''), '') AS found_title, n_links FROM
- (SELECT doc_id, text, {_FRONT_SQL}, len(list_filter(regexp_extract_all(text, '\\[\\[([^\\]]+)\\]\\]', 1), lambda x: trim(x) <> '')) AS n_links FROM documents WHERE source = 'vault_notes' AND text IS NOT NULL)""")
+@query(f"""SELECT doc_id, coalesce({_TITLE_SQL}, nullif(trim(regexp_extract(text, '(?m)^#\\s+(.*)$', 1)), ''), '') AS title, fm_entity AS entity, length({sql.body('text')}) AS body_chars,
+ list_distinct(list_concat(list_filter(list_transform(regexp_extract_all(text, '(?:^|[^\\[])\\[([^\\]\\[]+)\\]\\([^)]*\\)', 1), lambda x: trim(x)), lambda x: x <> ''), list_filter(list_transform(regexp_extract_all(text, '\\[\\[([^\\]]+)\\]\\]', 1), lambda x: trim(x)), lambda x: x <> ''))).len() AS n_links
+ FROM (SELECT doc_id, text, {_FRONT_SQL} FROM documents WHERE text IS NOT NULL)""")
 def markdown_parse(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").where("source = 'vault_notes' and text is not null").withColumn("fm_title", text.front_value(F.col("text"), "title")).withColumn("fm_entity", text.front_value(F.col("text"), "entity"))
-    heading = F.regexp_extract("text", r"(?m)^#\s+(.*)$", 1)
-    found = F.coalesce(text.nonempty(F.col("fm_title")), text.nonempty(F.col("fm_entity")), text.nonempty(heading), F.lit(""))
-    return rows.select("doc_id", "fm_title", "fm_entity", found.alias("found_title"), F.size(text.wikilinks(F.col("text"))).cast("bigint").alias("n_links"))
+    """What every note says of itself: title, entity, size of its body, number of distinct links."""
+    parts = readers.note_parts(F.col("text"))
+    rows = table(spark, sf, "documents").where("text is not null")
+    return rows.select("doc_id", parts["title"].alias("title"), parts["entity"].alias("entity"), F.length(parts["body"]).cast("bigint").alias("body_chars"), F.size(parts["links"]).cast("bigint").alias("n_links"))
 
 
-@query(f"""WITH l AS (SELECT DISTINCT source_key, {sql.match_form('target')} AS target_key FROM (SELECT {sql.match_form(sql.front_value('text', 'entity'))} AS source_key, trim(unnest(regexp_extract_all(text, '\\[\\[([^\\]]+)\\]\\]', 1))) AS target FROM documents WHERE source = 'vault_notes')),
+@query(f"""WITH l AS (SELECT DISTINCT source_key, {sql.match_form('target')} AS target_key FROM (SELECT {sql.match_form(sql.front_value('text', 'entity'))} AS source_key, trim(unnest(regexp_extract_all(text, '\\[\\[([^\\]]+)\\]\\]', 1))) AS target FROM documents)),
 i AS (SELECT key, min(uid) AS uid, count(*) AS n FROM (SELECT DISTINCT uid, {sql.match_form('name')} AS key FROM (SELECT uid, entity AS name FROM canonical_nodes UNION ALL SELECT uid, unnest(aliases) FROM canonical_nodes) WHERE name IS NOT NULL) WHERE key <> '' GROUP BY key HAVING count(*) = 1)
 SELECT source_key, target_key, s.uid AS source_uid, t.uid AS target_uid, 'REL-' || left(sha256(source_key || '|' || target_key || '|references'), 16) AS edge_id
 FROM l LEFT JOIN i s ON l.source_key = s.key LEFT JOIN i t ON l.target_key = t.key WHERE source_key <> '' AND target_key <> '' AND source_key <> target_key""")
@@ -216,42 +220,30 @@ def reference_edges(spark: SparkSession, sf: str) -> DataFrame:
     from strandline.operators.resolve import name_index
 
     index = name_index(table(spark, sf, "canonical_nodes")).where("n_entities = 1").select("key", "uid")
-    notes = table(spark, sf, "documents").where("source = 'vault_notes'")
+    notes = table(spark, sf, "documents")
     links = notes.select(text.match_form(text.front_value(F.col("text"), "entity")).alias("source_key"), F.explode(text.wikilinks(F.col("text"))).alias("target")).select("source_key", text.match_form(F.col("target")).alias("target_key")).distinct()
     links = links.where("source_key <> '' and target_key <> '' and source_key <> target_key")
     found = links.join(index.select(F.col("key").alias("source_key"), F.col("uid").alias("source_uid")), "source_key", "left").join(index.select(F.col("key").alias("target_key"), F.col("uid").alias("target_uid")), "target_key", "left")
     return found.select("source_key", "target_key", "source_uid", "target_uid", F.concat(F.lit("REL-"), text.short_hash([F.col("source_key"), F.col("target_key"), F.lit("references")])).alias("edge_id"))
 
 
+# Function words that are no mentions.
 _SKIP = ("The", "A", "An", "And", "Or", "But", "In", "On", "At", "By", "For", "Of", "To", "With", "Is", "Are", "Was", "Were", "Been", "Be", "Have", "Has", "Had", "Do", "Does", "Did")
 
 
-@query(f"""SELECT mention, count(*) AS n, count(DISTINCT seq) AS claims, min(seq) AS first_seq FROM (SELECT seq, unnest(regexp_extract_all(claim_text, '[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*')) AS mention FROM atomic_claims WHERE NOT regexp_matches(claim_text, '[^\\x00-\\x7F]'))
- WHERE length(mention) > 2 AND mention NOT IN {_SKIP} GROUP BY mention""")
-def mention_extract(spark: SparkSession, sf: str) -> DataFrame:
-    """Capitalised phrases of claims and how often they occur; function words are no mentions."""
-    rows = table(spark, sf, "atomic_claims").where(~F.col("claim_text").rlike(r"[^\x00-\x7F]")).select("seq", F.explode(F.regexp_extract_all("claim_text", F.lit(r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"), 1)).alias("mention"))
-    return _mention_counts(rows)
+#: A capital and small letters of any script, each with its combining marks; white space as both engines know it.
+_MENTION = r"[\p{Lu}\p{Lt}]\p{M}*\p{Ll}[\p{Ll}\p{M}]*(?:[\s\p{Z}]+[\p{Lu}\p{Lt}]\p{M}*\p{Ll}[\p{Ll}\p{M}]*)*"
 
 
-def _mention_counts(rows: DataFrame) -> DataFrame:
-    rows = rows.where((F.length("mention") > 2) & ~F.col("mention").isin(*_SKIP))
+def mentions(claims: DataFrame) -> DataFrame:
+    """Capitalised phrases of claims, in whatever script, and how often they occur; function words are no mentions."""
+    rows = claims.select("seq", F.explode(F.regexp_extract_all("claim_text", F.lit(f"({_MENTION})"), 1)).alias("mention")).where((F.length("mention") > 2) & ~F.col("mention").isin(*_SKIP))
     return rows.groupBy("mention").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("claims"), F.min("seq").alias("first_seq"))
 
 
-#: A capital and small letters of any script, each with its combining marks.
-_MENTION = r"([\p{Lu}\p{Lt}]\p{M}*\p{Ll}[\p{Ll}\p{M}]*(?:[\s\p{Z}]+[\p{Lu}\p{Lt}]\p{M}*\p{Ll}[\p{Ll}\p{M}]*)*)"
-
-
-def all_mentions(claims: DataFrame) -> DataFrame:
-    """Capitalised phrases of all claims, in whatever script, and how often they occur."""
-    return _mention_counts(claims.select("seq", F.explode(F.regexp_extract_all("claim_text", F.lit(_MENTION), 1)).alias("mention")))
-
-
-@query()
-def mention_extract_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``mention_extract`` without its SQL's limit to claims in ASCII."""
-    return all_mentions(table(spark, sf, "atomic_claims"))
+@query(f"SELECT mention, count(*) AS n, count(DISTINCT seq) AS claims, min(seq) AS first_seq FROM (SELECT seq, unnest(regexp_extract_all(claim_text, '{_MENTION}')) AS mention FROM atomic_claims) WHERE length(mention) > 2 AND mention NOT IN {_SKIP} GROUP BY mention")
+def mention_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return mentions(table(spark, sf, "atomic_claims"))
 
 
 @query(f"SELECT evidence_id, url, {sql.fingerprint('content')} AS fp FROM evidence QUALIFY row_number() OVER (PARTITION BY {sql.fingerprint('content')} ORDER BY evidence_id) = 1")

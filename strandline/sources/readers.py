@@ -17,7 +17,10 @@ INTAKE = T.StructType(
     + [T.StructField(n, T.StringType()) for n in ("extracted_at", "extraction_run_id", "ingestion_status")]
 )
 # Headers of sheets and the columns they mean.
-HEADERS = dict(x.split("=") for x in "entityid=entity_id entity=entity_id entity_name=name entity_type=rita_type type=rita_type alias=aliases source_id=source_ids count=source_count extracted=extracted_at run_id=extraction_run_id status=ingestion_status".split())
+HEADERS = {
+    "entityid": "entity_id", "entity": "entity_id", "entity_name": "name", "entity_type": "rita_type", "type": "rita_type", "alias": "aliases", "source_id": "source_ids", "count": "source_count",
+    "extracted": "extracted_at", "run_id": "extraction_run_id", "status": "ingestion_status",
+}
 
 
 def header(name: str) -> str:
@@ -66,13 +69,22 @@ def snapshot(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("source_count", F.when(F.col("source_ids").isNull(), F.lit(0)).otherwise(F.size("source_ids")))
 
 
+# Front-matter keys that may hold a note's title, the first that does counts.
+TITLE_KEYS = ("title", "name", "entity", "entity_name", "subject")
+
+
+def note_parts(value: Column) -> dict[str, Column]:
+    """Columns of a Markdown text: title, entity, body, distinct links (labels of inline links, then wikilinks)."""
+    heading = F.regexp_extract(value, r"(?m)^#\s+(.*)$", 1)
+    title = F.coalesce(*[text.nonempty(text.front_value(value, k)) for k in TITLE_KEYS], text.nonempty(F.trim(heading)), F.lit(""))
+    inline = F.filter(F.transform(F.regexp_extract_all(value, F.lit(r"(?<!\[)\[([^\]\[]+)\]\([^)]*\)"), 1), F.trim), lambda x: x != "")
+    return {"title": title, "entity": text.front_value(value, "entity"), "body": text.body(value), "links": F.array_distinct(F.concat(inline, text.wikilinks(value)))}
+
+
 def notes(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, entity, body, links) of the Markdown files of a folder, not of those below it."""
     raw = spark.read.option("pathGlobFilter", "*.{md,markdown}").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    heading = F.regexp_extract("value", r"(?m)^#\s+(.*)$", 1)
-    title = F.coalesce(*[text.nonempty(text.front_value(F.col("value"), k)) for k in ("title", "name", "entity", "entity_name", "subject")], text.nonempty(F.trim(heading)), F.lit(""))
-    inline = F.filter(F.transform(F.regexp_extract_all("value", F.lit(r"(?<!\[)\[([^\]\[]+)\]\([^)]*\)"), 1), F.trim), lambda x: x != "")
-    return raw.select("path", title.alias("title"), text.front_value(F.col("value"), "entity").alias("entity"), text.body(F.col("value")).alias("body"), F.array_distinct(F.concat(inline, text.wikilinks(F.col("value")))).alias("links"))
+    return raw.select("path", *[c.alias(n) for n, c in note_parts(F.col("value")).items()])
 
 
 def gateway_results(responses: DataFrame, most: int = 10) -> DataFrame:
