@@ -89,6 +89,7 @@ def fold(text: str) -> str:
 _SITE = re.compile(r"[^\W\d_]{3,}")
 
 
+@lru_cache(maxsize=4096)
 def masker(host: str):
     """Normalises a line: the name of the site gives way to a mark; case, accents and blanks don't count."""
     words = [w for w in _SITE.findall(host.lower().removeprefix("www.").split(".")[0])]
@@ -169,6 +170,13 @@ def article_weight(text: str) -> int:
     return len(text) * (3 if wide(text) else 1)
 
 
+@lru_cache(maxsize=1 << 16)
+def facts(host: str, text: str, worded: bool) -> tuple[str, int, int, bool, str]:
+    """A line's normal form, key, weight, whether it heads the tail, and its words. Furniture recurs, so these are kept."""
+    masked = masker(host)(text)
+    return masked, key(masked), article_weight(text), tail_heading(text), words_in(masked) if worded else ""
+
+
 def _parse(marks):
     """``marks``: gives a page's line bits from (lines, masked texts, title, mask), or None where not wanted."""
 
@@ -177,21 +185,21 @@ def _parse(marks):
             tables, ids, hosts, pages_, titles, contents = (batch.column(i).to_pylist() for i in range(6))
             columns = [[] for _ in range(6)]
             for t, h, title, content in zip(tables, hosts, titles, contents):
-                mask, crawled = masker(h), t == "crawl_results"
+                crawled = t == "crawl_results"
                 raw = content.split("\n")
                 lines = lines_of(content)
                 spoken = [x for x in lines if x.text and not x.code]
                 head = next((x for x in spoken if "h1" in x.tags), spoken[0] if spoken else None)
-                masked = [mask(x.text) for x in spoken]
-                bits = marks(spoken, masked, title or "", mask) if marks else [0] * len(spoken)
+                known = [facts(h or "", x.text, crawled) for x in spoken]
+                bits = marks(spoken, [f[0] for f in known], title or "", masker(h or "")) if marks else [0] * len(spoken)
                 weight, words, tail = [], [], False
                 for i, x in enumerate(spoken):
-                    tail = tail or tail_heading(x.text)
-                    weight.append(0 if tail else article_weight(x.text))
+                    tail = tail or known[i][3]
+                    weight.append(0 if tail else known[i][2])
                     if tail:
                         bits[i] |= TAIL_BIT
                     if crawled:
-                        words.append("" if tail else words_in(masked[i]))
+                        words.append("" if tail else known[i][4])
                         source = raw[x.no - 1]
                         if "<script" not in source and "<style" not in source and placeholder(_MARKUP.sub(" ", source) if "<" in source else source):
                             bits[i] |= PLACEHOLDER_BIT
@@ -201,7 +209,7 @@ def _parse(marks):
                 extra = [x for x in lines if crawled and not x.text and not x.code and placeholder(_MARKUP.sub(" ", raw[x.no - 1]))]
                 box = [hash_of(x.tags) if x.tags else 0 for x in spoken]
                 columns[0].append([x.no for x in spoken] + [x.no for x in extra])
-                columns[1].append([key(m) for m in masked] + [key(raw[x.no - 1]) for x in extra])
+                columns[1].append([f[1] for f in known] + [key(raw[x.no - 1]) for x in extra])
                 columns[2].append(weight + [0] * len(extra))
                 columns[3].append(bits + [PLACEHOLDER_BIT] * len(extra))
                 columns[4].append([b * 2 + x.gap for b, x in zip(box, spoken)] + [0] * len(extra))
