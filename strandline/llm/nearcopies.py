@@ -13,7 +13,6 @@ at 0.7, 0.992 at 0.75, 0.998 at 0.8.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +21,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import ensure_checkpoint_dir
+from strandline.seq import numbered
+from strandline.session import new_folder, written
 
 PIECES, WIDTH, RUN = 10, 3, 5
 #: Groups of one key with more records than this are compared block by block, each pair of blocks in its own group.
 BLOCK = 2000
-#: Classes of equal texts with more members are given as links to their first member.
-EXPANDED = 1000
+#: Copies are paired with so many copies that follow them.
+WINDOW = 100
 
 _DROP = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 _RNG = np.random.default_rng(20250101)
@@ -190,11 +190,6 @@ def _verify(threshold: float):
     return verify
 
 
-def _written(df: DataFrame, name: str, folder: str) -> DataFrame:
-    df.write.parquet(f"{folder}/{name}")
-    return df.sparkSession.read.parquet(f"{folder}/{name}")
-
-
 def similar_classes(records: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """Near-copies among the rows of ``records`` (tab int, id bigint, text string), within each ``tab``.
 
@@ -206,16 +201,18 @@ def similar_classes(records: DataFrame, threshold: float = 0.7) -> tuple[DataFra
     as one row. Any number of rows may share a key: see ``BLOCK``.
     """
     spark = records.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/nearcopies-{uuid.uuid4().hex}"
-    signed = _written(records.where(F.col("id").isNotNull()).mapInArrow(_sign, SIGNED), "signed", folder)
+    if threshold < 0.7:
+        raise ValueError("the tables are laid out for similarities of 0.7 and above")
+    folder = new_folder(spark, "nearcopies")
+    signed = written(records.where(F.col("id").isNotNull()).mapInArrow(_sign, SIGNED), folder, "signed")
     classes = signed.groupBy("tab", "f1", "f2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members"))
     membership = signed.select("tab", "f1", "f2", "id").join(classes, ["tab", "f1", "f2"]).select("tab", "id", "class_id", "members").distinct()
-    first = _written(
+    first = written(
         signed.join(classes.select("tab", F.col("class_id").alias("id")), ["tab", "id"], "left_semi").select("tab", "id", "bits", "a", "b").dropDuplicates(["tab", "id"]),
-        "first", folder,
+        folder, "first",
     )
     keys = first.select("tab", F.explode("a").alias("k"), F.col("id"), "bits", "b")
-    hot = _written(keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK), "hot", folder)
+    hot = written(keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK), folder, "hot")
     hot_keys = hot.count()
     if hot_keys:
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -228,34 +225,74 @@ def similar_classes(records: DataFrame, threshold: float = 0.7) -> tuple[DataFra
         rows = keys.withColumn("own", F.lit(-1)).withColumn("block", F.lit(-1).cast("bigint"))
     rows = rows.select("tab", "k", "block", "own", "id", "bits", "b").repartition("k", "block").sortWithinPartitions("k", "block")
     candidates = rows.mapInArrow(_match, "tab int, id_a bigint, id_b bigint").distinct()
-    candidates = _written(candidates, "candidates", folder)
+    candidates = written(candidates, folder, "candidates")
     wanted = candidates.select("tab", F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    texts = _written(records.join(wanted, ["tab", "id"], "left_semi").groupBy("tab", "id").agg(F.max("text").alias("text")), "texts", folder)
+    texts = written(records.join(wanted, ["tab", "id"], "left_semi").groupBy("tab", "id").agg(F.max("text").alias("text")), folder, "texts")
     both = candidates.join(texts.select("tab", F.col("id").alias("id_a"), F.col("text").alias("text_a")), ["tab", "id_a"]).join(
         texts.select("tab", F.col("id").alias("id_b"), F.col("text").alias("text_b")), ["tab", "id_b"]
     )
     pairs = both.select("tab", "id_a", "id_b", "text_a", "text_b").mapInArrow(_verify(threshold), "tab int, id_a bigint, id_b bigint")
-    return _written(pairs, "pairs", folder), membership
+    return written(pairs, folder, "pairs"), membership
 
 
-def similar_pairs(records: DataFrame, threshold: float = 0.7) -> DataFrame:
+def similar_pairs(records: DataFrame, threshold: float = 0.7, window: int = WINDOW) -> DataFrame:
     """(tab, id_a, id_b), id_a < id_b: every pair of rows at or above the threshold, copies included.
 
-    Of a class of more than ``EXPANDED`` equal texts, each member is paired with the representative
-    only, and the representative stands for the class towards other texts.
+    Copies are paired along their class: each with the ``window`` copies that follow it by id; between two
+    similar classes the first ``window`` + 1 members of each are paired. So rows grow with the copies, not
+    with their square, and a class of up to ``window`` + 1 copies gives all its pairs. ``similar_classes``
+    is the exact form of larger ones.
     """
     pairs, membership = similar_classes(records, threshold)
     # only classes of several rows have anything to expand
-    members = membership.where((F.col("members") > 1) & ((F.col("members") <= EXPANDED) | (F.col("id") == F.col("class_id")))).select("tab", "class_id", "id")
-    within = members.alias("x").join(members.alias("y"), ["tab", "class_id"]).where(F.col("x.id") < F.col("y.id")).select("tab", F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-    star = membership.where((F.col("members") > EXPANDED) & (F.col("id") != F.col("class_id"))).select("tab", F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
-    side = lambda c: members.select("tab", F.col("class_id").alias(c), F.col("id").alias(f"{c}_member"))
+    members = numbered(membership.where("members > 1").select("tab", "class_id", "id"), ["tab", "class_id"], "id", "r")
+    blocks = members.withColumn("block", F.floor((F.col("r") - 1) / window))
+    left = blocks.select("tab", "class_id", F.col("id").alias("id_a"), F.col("r").alias("r_a"), F.explode(F.array("block", F.col("block") + 1)).alias("block"))
+    right = blocks.select("tab", "class_id", F.col("id").alias("id_b"), F.col("r").alias("r_b"), "block")
+    within = left.join(right, ["tab", "class_id", "block"]).where((F.col("r_a") < F.col("r_b")) & (F.col("r_b") - F.col("r_a") <= window)).select("tab", "id_a", "id_b")
+    side = lambda c: members.where(F.col("r") <= window + 1).select("tab", F.col("class_id").alias(c), F.col("id").alias(f"{c}_member"))
     across = (
         pairs.join(side("id_a"), ["tab", "id_a"], "left").join(side("id_b"), ["tab", "id_b"], "left")
         .select("tab", F.coalesce("id_a_member", "id_a").alias("p"), F.coalesce("id_b_member", "id_b").alias("q"))
         .select("tab", F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
     )
-    return across.unionByName(within).unionByName(star)
+    return across.unionByName(within)
+
+
+def components(edges: DataFrame, folder: str) -> DataFrame:
+    """(v, root): the smallest vertex of each vertex's component, for edges (a, b) of one comparable type.
+
+    Large-star and small-star in turn until nothing changes, some log n rounds; every round is written to
+    the folder, and only counts come to the driver. A vertex's neighbours are never gathered: their
+    minimum is joined back.
+    """
+    def star(e: DataFrame, large: bool) -> DataFrame:
+        near = (e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e).distinct()  # a: the centre
+        least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        linked = near.join(least, "a")
+        out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    sums = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folder, "edges-0")
+    before, k = None, 0
+    while (held := sums(now)) != before:
+        before, k = held, k + 1
+        now = written(star(written(star(now, True), folder, f"large-{k}"), False), folder, f"edges-{k}")
+    return now.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
+
+
+def similar_groups(records: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(tab, id, class_id, members, group_id, links): one row per record with text. Classes that are linked,
+    directly or over others, are one group, named by its smallest id; ``links`` counts the other classes
+    that the record's class is similar to."""
+    folder = new_folder(records.sparkSession, "groups")
+    pairs, membership = similar_classes(records, threshold)
+    vertex = lambda c: F.struct("tab", F.col(c).alias("id"))
+    roots = components(pairs.select(vertex("id_a").alias("a"), vertex("id_b").alias("b")), folder).select("v.tab", F.col("v.id").alias("class_id"), F.col("root.id").alias("group_id"))
+    links = pairs.select("tab", F.explode(F.array("id_a", "id_b")).alias("class_id")).groupBy("tab", "class_id").agg(F.count(F.lit(1)).alias("links"))
+    found = membership.join(roots, ["tab", "class_id"], "left").join(links, ["tab", "class_id"], "left")
+    return found.select("tab", "id", "class_id", "members", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def claim_and_evidence_records(claims: DataFrame, evidence: DataFrame) -> DataFrame:

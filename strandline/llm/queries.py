@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import boilerplate, languages, mixing, names, nearcopies, packing, pages, sentences
@@ -15,8 +15,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = nearcopies.claim_and_evidence_records(table(spark, sf_dir, "atomic_claims"), table(spark, sf_dir, "evidence"))
-    name = F.when(F.col("tab") == 0, "atomic_claims").otherwise("evidence")
-    return nearcopies.similar_pairs(records).select(name.alias("record_table"), "id_a", "id_b")
+    return nearcopies.similar_pairs(records).select(_record_table(), "id_a", "id_b")
+
+
+def _record_table() -> Column:
+    return F.when(F.col("tab") == 0, "atomic_claims").otherwise("evidence").alias("record_table")
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record with its class of equal texts, its group of near-copies and its number of links."""
+    records = nearcopies.claim_and_evidence_records(table(spark, sf_dir, "atomic_claims"), table(spark, sf_dir, "evidence"))
+    return nearcopies.similar_groups(records).select(_record_table(), "id", "class_id", "members", "group_id", "links")
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of class representatives; with the classes of ``p3_groups`` the exact form of ``p3_found``."""
+    records = nearcopies.claim_and_evidence_records(table(spark, sf_dir, "atomic_claims"), table(spark, sf_dir, "evidence"))
+    return nearcopies.similar_classes(records)[0].select(_record_table(), "id_a", "id_b")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +67,5 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.language_segments(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packing": p7_packing, "p8_mixing": p8_mixing, "p8_shares": p8_shares, "p9_found": p9_found, "p9_segments": p9_segments}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p3_pairs": p3_pairs, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packing": p7_packing, "p8_mixing": p8_mixing, "p8_shares": p8_shares, "p9_found": p9_found, "p9_segments": p9_segments}
 SQL: dict[str, str] = {}

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from strandline.llm import nearcopies
 
 LONG = " ".join(str(i * 7919) for i in range(40_000))
@@ -59,8 +61,36 @@ def test_blocks_of_hot_keys_lose_nothing(spark, monkeypatch):
     assert found(spark, rows) == whole and len(whole) >= 40 * 39 // 2
 
 
-def test_large_classes_are_stars(spark, monkeypatch):
-    monkeypatch.setattr(nearcopies, "EXPANDED", 3)
-    rows = [(0, i, "one and the same text for all of them, repeated") for i in range(1, 7)] + [(0, 9, "one and the same text for all of them, repeated!!1")]
-    got = found(spark, rows)
-    assert {(0, 1, i) for i in range(2, 7)} <= got and (0, 1, 9) in got
+def test_windows_of_copies(spark):
+    rows = [(0, i, "one and the same text for all of them, repeated") for i in range(1, 9)] + [(0, 20 + i, "one and the same text for all of them, repeated!!1") for i in range(4)]
+    whole = found(spark, rows)
+    assert whole == brute(rows) and found(spark, rows, window=7) == whole
+    got = found(spark, rows, window=3)
+    assert got <= whole and {(0, i, j) for i in range(1, 9) for j in range(i + 1, min(9, i + 4))} <= got and {(0, i, 20 + j) for i in range(1, 4) for j in range(3)} <= got
+
+
+def test_groups_equal_brute_force(spark):
+    rows = made(30, 5) + [(0, 500, None), (0, 501, "alone in its class, and like no other text at all")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
+    root = {(t, i): (t, i) for t, i, x in rows if x}
+    find = lambda v: v if root[v] == v else find(root[v])
+    for t, i, j in brute(rows):
+        a, b = find((t, i)), find((t, j))
+        root[max(a, b)] = min(a, b)
+    got = {(r["tab"], r["id"]): (r["tab"], r["group_id"]) for r in nearcopies.similar_groups(df).collect()}
+    assert got == {v: find(v) for v in root}
+    assert nearcopies.similar_groups(df.where("false")).count() == 0
+
+
+def test_components_of_chains(spark, tmp_path):
+    rng = random.Random(2)
+    names = rng.sample(range(1000), 120)
+    edges = list(zip(names[:60], names[1:60])) + [(names[60], x) for x in names[61:100]] + [(7, 7)]
+    got = {r["v"]: r["root"] for r in nearcopies.components(spark.createDataFrame(edges, "a long, b long"), str(tmp_path)).collect()}
+    want = {v: min(names[:60]) for v in names[:60]} | {v: min(names[60:100]) for v in names[60:100]}
+    assert got == want
+
+
+def test_lower_thresholds_are_refused(spark):
+    with pytest.raises(ValueError):
+        nearcopies.similar_classes(spark.createDataFrame([], SCHEMA), 0.5)
