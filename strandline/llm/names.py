@@ -13,10 +13,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.snapshots import BLANKS
-from strandline.session import ensure_checkpoint_dir
+from strandline.session import new_folder, written
 
 # Titles, articles and suffixes that are no part of a name.
 NO_PART = frozenset("the of and for mr mrs ms miss dr prof eng ing hon sir rev mme hq headquarters head office formerly".split())
@@ -54,8 +53,8 @@ len=leonard lenny=leonard leo=leonard ossie=oscar oz=oscar ozzie=oscar ursie=urs
 jim=james jimmy=james joe=joseph tony=anthony dan=daniel danny=daniel dave=david steve=steven sue=susan vicky=victoria
 """.split()
 )
-#: Words in at least this share of the registered names belong to frames.
-FRAME_SHARE = 0.015
+#: Words of at least so many registered names, and of this share of them, may belong to frames; so may given names.
+FRAME_LEAST, FRAME_SHARE = 3, 0.0002
 _LEET = str.maketrans("013457", "oleast")
 _CAMEL = re.compile(r"(?<=[a-z]{3})(?=[A-Z][a-z])")
 _PAREN = re.compile(r"\s*[(\[][^)\]]*[)\]]?\s*")
@@ -112,10 +111,33 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 def allowed(length: int) -> int:
-    """Edits that a core of this many letters may have."""
+    """Edits that a core of this many letters may have: none below four letters, three from fourteen on,
+    where more would join names of different places. It defines which slips are links; nothing else is cut."""
     return 0 if length < 4 else 1 if length < 6 else 2 if length < 14 else 3
 
 
+class Near:
+    """Words of a lexicon by their segments: those within k edits of a word, nearest first, without a scan."""
+
+    def __init__(self, words: frozenset[str], most):
+        self.most, self.sizes, self.index = most, sorted({len(w) for w in words}), {}
+        for w in words:
+            for i, _, text in segments(w, most(w)):
+                self.index.setdefault((len(w), i, text), []).append(w)
+        self.layout = {n: (most("x" * n), segments("x" * n, most("x" * n))) for n in self.sizes}
+
+    def __call__(self, word: str) -> list[tuple[int, str]]:
+        n, found = len(word), set()
+        for size in self.sizes:
+            k, parts = self.layout[size]
+            if abs(size - n) > k:
+                continue
+            for i, at, text in parts:
+                for start in range(max(0, at - k), min(n - len(text), at + k) + 1):
+                    found.update(self.index.get((size, i, word[start : start + len(text)]), ()))
+        return sorted((d, w) for w in found if (d := edits(word, w, self.most(w))) <= self.most(w))
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Words of frames: those of bodies, and given names. Both are bounded: see ``lexicon_of``."""
@@ -126,6 +148,35 @@ class Lexicon:
     def __hash__(self) -> int:
         return hash((len(self.body), len(self.given)))
 
+    def __reduce__(self):
+        return Lexicon, (self.body, self.given)
+
+    @cached_property
+    def near_body(self) -> Near:
+        return Near(self.body, lambda w: 1 if len(w) < 7 else 2)
+
+    @cached_property
+    def near_given(self) -> Near:
+        return Near(self.given, lambda w: 1 if len(w) < 6 else 2)
+
+    @cached_property
+    def near_short(self) -> Near:
+        """Long abbreviations whose full words are of bodies."""
+        return Near(frozenset(a for a in ABBREVIATIONS if len(a) >= 5 and ABBREVIATIONS[a] in self.body), lambda w: 1)
+
+    @cached_property
+    def near_nick(self) -> Near:
+        return Near(frozenset(n for n, w in NICKNAMES.items() if len(n) > 2 and w in self.given), lambda w: 1)
+
+    @cached_property
+    def by_start(self) -> dict[str, list[str]]:
+        """Body words by each of their beginnings."""
+        out: dict[str, list[str]] = {}
+        for w in sorted(self.body):
+            for n in range(1, len(w) + 1):
+                out.setdefault(w[:n], []).append(w)
+        return out
+
 
 def _abbreviates(short: str, word: str) -> bool:
     if len(short) >= len(word) or short[0] != word[0]:
@@ -143,16 +194,15 @@ def _as_body(word: str, marked: bool, lexicon: Lexicon) -> str | None:
     if full in lexicon.body:
         return full
     if len(word) > 1 and (marked or len(word) <= 5):
-        fits = [w for w in lexicon.body if w.startswith(word)] or ([w for w in lexicon.body if w[:2] == word[:2] and _abbreviates(word, w)] if marked else [])
+        fits = lexicon.by_start.get(word, []) or ([w for w in lexicon.by_start.get(word[:2], []) if _abbreviates(word, w)] if marked else [])
         if len(fits) == 1 and (marked or len(word) >= 4):
             return fits[0]
     if len(word) >= 3:
-        near = sorted((edits(word, w, 1 if len(w) < 7 else 2), w) for w in lexicon.body if abs(len(w) - len(word)) <= 2)
-        near = [(d, w) for d, w in near if d <= (1 if len(w) < 7 else 2)]
+        near = lexicon.near_body(word)
         if near and (len(near) == 1 or near[0][0] < near[1][0]) and (len(word) > 3 or near[0][0] <= 1 and near[0][1][0] == word[0]):
             return near[0][1]
         if len(word) >= 5:
-            near = {ABBREVIATIONS[a] for a in ABBREVIATIONS if len(a) >= 5 and edits(word, a, 1) <= 1} & lexicon.body
+            near = {ABBREVIATIONS[a] for _, a in lexicon.near_short(word)}
             if len(near) == 1:
                 return near.pop()
     return None
@@ -165,13 +215,12 @@ def _as_given(word: str, lexicon: Lexicon) -> str | None:
     if NICKNAMES.get(word) in lexicon.given:
         return NICKNAMES[word]
     if len(word) >= 4:
-        near = sorted((edits(word, w, 2), w) for w in lexicon.given)
-        near = [(d, w) for d, w in near if d <= (1 if len(w) < 6 else 2)]
+        near = lexicon.near_given(word)
         if near and (len(near) == 1 or near[0][0] < near[1][0]):
             return near[0][1]
     if len(word) >= 2:
         # a slip in a nickname, if one given name alone can be meant
-        near = {w for n, w in NICKNAMES.items() if len(n) > 2 and w in lexicon.given and edits(word, n, 1) <= 1}
+        near = {NICKNAMES[n] for _, n in lexicon.near_nick(word)}
         if len(near) == 1:
             return near.pop()
     return None
@@ -180,17 +229,19 @@ def _as_given(word: str, lexicon: Lexicon) -> str | None:
 def _unglued(word: str, marked: bool, lexicon: Lexicon) -> list[tuple[str, bool]]:
     """A body word that lost the blank to its neighbour, apart again."""
     if len(word) >= 10 and word not in lexicon.body:
-        for w in lexicon.body:
-            if len(w) >= 5 and len(word) - len(w) >= 4:
-                if word.startswith(w):
-                    return [(w, False), (word[len(w) :], marked)]
-                if word.endswith(w):
-                    return [(word[: -len(w)], False), (w, marked)]
+        for n in range(len(word) - 4, 4, -1):
+            if word[:n] in lexicon.body:
+                return [(word[:n], False), (word[n:], marked)]
+            if word[-n:] in lexicon.body:
+                return [(word[:-n], False), (word[-n:], marked)]
     return [(word, marked)]
 
 
 def read(name: str, lexicon: Lexicon) -> list[tuple[str, str]]:
-    """The (frame, core) pairs that a typed name may stand for; usually one, none for an empty name."""
+    """The (frame, core) pairs that a typed name may stand for; usually one, none for an empty name.
+
+    A single word is an acronym if it has three to seven letters, as names of three to seven words give it.
+    """
     words = [(w, m) for w, m in words_of(name) if w not in NO_PART or w == "for" and m]
     if not words:
         return []
@@ -294,8 +345,8 @@ def _distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lexicon_of(entities: DataFrame) -> Lexicon:
-    """Frame words of the registry's names. At most words / FRAME_SHARE body words can exist, and a
-    thousand given names are taken at most, those that most names have: what is collected is bounded."""
+    """Frame words of the registry's names. A name's words divided by FRAME_SHARE is the most that there can
+    be of body words, 1 / FRAME_SHARE that of given names, so what is collected is bounded."""
     named = entities.where("entity is not null").select(F.filter(F.split(F.lower(F.regexp_replace("entity", r"[^\p{L}\p{M}\p{N}]+", " ")), " "), lambda w: w != "").alias("p"))
     longer = named.where("size(p) > 2")
     total = max(1, longer.count())
@@ -303,20 +354,16 @@ def lexicon_of(entities: DataFrame) -> Lexicon:
     each = longer.withColumn("n", F.monotonically_increasing_id()).select("n", F.explode(F.array_distinct("p")).alias("word"))
     counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rarest = each.join(counts, "word").withColumn("least", F.min("df").over(Window.partitionBy("n")))
-    words = rarest.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.count(F.when(F.col("df") == F.col("least"), 1)).alias("alone")).where((F.col("df") >= max(2, FRAME_SHARE * total)) & (F.col("alone") < 0.5 * F.col("df")))
+    words = rarest.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.count(F.when(F.col("df") == F.col("least"), 1)).alias("alone")).where((F.col("df") >= max(FRAME_LEAST, FRAME_SHARE * total)) & (F.col("alone") < 0.5 * F.col("df")))
     body = {r["word"] for r in words.select("word").collect()}
     # a frequent given name stands first of two words that are no words of bodies
     outside = lambda c: ~c.isin(*sorted(body)) if body else F.lit(True)
     pairs = named.where("size(p) = 2").select(F.col("p")[0].alias("first"), F.col("p")[1].alias("last")).where(outside(F.col("first")) & outside(F.col("last")))
-    given = {plain(r["first"]) for r in pairs.groupBy("first").count().where("count >= 3").orderBy(F.desc("count"), "first").limit(1000).select("first").collect()}
+    least = max(FRAME_LEAST, FRAME_SHARE * pairs.count())
+    given = {plain(r["first"]) for r in pairs.groupBy("first").count().where(F.col("count") >= least).select("first").collect()}
     return Lexicon(frozenset(plain(w) for w in body), frozenset(given))
 
 
-#: A typed core with more frames than this that its registered neighbour lacks, and more than it
-#: shares with it, is a name of its own, not a slip.
-FOREIGN = 1
-
-
 def link_names(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """(name, uid, is_node) for typed names (one string column ``name``) and the registry (uid, entity, aliases).
 
@@ -329,7 +376,7 @@ def link_names(names: DataFrame, nodes: DataFrame) -> DataFrame:
     lexicon = lexicon_of(nodes)
     typed = names.where(F.col("name").isNotNull()).select(F.col("name").cast("string").alias("name")).distinct()
     parsed = "name string, frame string, core string, keys array<bigint>, sure boolean"
-    entity_names = nodes.where("entity is not null").select(F.col("entity").alias("name"), "uid").distinct()
+    entity_names = nodes.select(F.col("entity").alias("name"), "uid").unionByName(nodes.select(F.explode("aliases").alias("name"), "uid")).where("name is not null").distinct()
     known = entity_names.mapInArrow(_reader(lexicon, False), "name string, uid string, frame string, core string, keys array<bigint>, sure boolean").where("core <> ''").drop("sure")
     known = known.unionByName(_acronyms(known, lexicon)).unionByName(_initials(known))
     index = known.select("uid", "frame", F.col("core").alias("node_core"), F.explode("keys").alias("key"))
@@ -339,16 +386,15 @@ def link_names(names: DataFrame, nodes: DataFrame) -> DataFrame:
         .select("name", "frame", "core", "uid", "node_core").distinct()
         .mapInArrow(_distance, "name string, frame string, core string, uid string, node_core string, d int")
     )
-    # a slip shares the frames of the core it comes from; a name of its own has others
-    frames = read_names.where(F.col("sure") & ~F.col("frame").startswith("initial ")).select("core", "frame").distinct()
+    # most names with a slip have frames of the core that it comes from; those of a name of its own have others
+    frames = read_names.where(F.col("sure") & ~F.col("frame").startswith("initial ")).select("core", "frame").groupBy("core", "frame").agg(F.count(F.lit(1)).alias("names"))
     registered = known.select(F.col("core").alias("node_core"), "frame").distinct().withColumn("shared", F.lit(1))
     judged = (
         found.where("d > 0").select("core", "node_core").distinct().join(frames, "core").join(registered, ["node_core", "frame"], "left")
-        .groupBy("core", "node_core").agg(F.count("shared").alias("n_shared"), F.count(F.lit(1)).alias("n_all"))
+        .groupBy("core", "node_core").agg(F.sum(F.when(F.col("shared").isNotNull(), F.col("names"))).alias("n_shared"), F.sum("names").alias("n_all"))
     )
     found = found.join(judged, ["core", "node_core"], "left")
-    foreign = F.col("n_all") - F.col("n_shared")
-    return found.where((F.col("d") == 0) | F.col("n_all").isNull() | (foreign <= F.greatest(F.lit(FOREIGN), F.col("n_shared")))).select("name", "uid", "frame", "d")
+    return found.where((F.col("d") == 0) | F.col("n_all").isNull() | (2 * F.coalesce("n_shared", F.lit(0)) >= F.col("n_all"))).select("name", "uid", "frame", "d")
 
 
 def _initials(known: DataFrame) -> DataFrame:
@@ -383,7 +429,7 @@ def node_twins(links: DataFrame, nodes: DataFrame) -> DataFrame:
     nodes = nodes.where("uid is not null")
     names = nodes.where("entity is not null").select(F.col("uid").alias("u"), F.col("entity").alias("name"), F.lit(False).alias("alias"))
     names = names.unionByName(nodes.select(F.col("uid").alias("u"), F.explode("aliases").alias("name"), F.lit(True).alias("alias")).where("name is not null")).distinct()
-    each = _written(names.join(links, "name"), "each")
+    each = written(names.join(links, "name"), new_folder(nodes.sparkSession, "names"), "each")
     full, loose = ~F.col("frame").rlike("^(acronym|initial|other)"), F.col("frame").rlike("^(acronym$|initial )")
     sure = each.where(~F.col("alias") & full & (F.col("u") != F.col("uid"))).select(F.least("u", "uid").alias("key_a"), F.greatest("u", "uid").alias("key_b")).distinct()
     whole = each.where(~F.col("alias") & full & (F.col("u") == F.col("uid"))).select("u").distinct()
@@ -394,14 +440,7 @@ def node_twins(links: DataFrame, nodes: DataFrame) -> DataFrame:
     short = as_alias.unionByName(by_name).join(whole.withColumnRenamed("u", "v"), "v", "left_anti").join(whole.withColumnRenamed("u", "fit"), "fit", "left_semi")
     nearest = by_alias.unionByName(short).withColumn("r", F.rank().over(Window.partitionBy("v").orderBy("tier", "d"))).where("r = 1")
     one = nearest.join(_smallest(sure).withColumnRenamed("uid", "fit"), "fit", "left").groupBy("v").agg(F.min(F.coalesce("smaller", "fit")).alias("fit"), F.countDistinct(F.coalesce("smaller", "fit")).alias("n")).where("n = 1 and fit <> v")
-    return _closed(_written(sure.unionByName(one.select(F.least("v", "fit").alias("key_a"), F.greatest("v", "fit").alias("key_b"))), "twins"))
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, kept in the shared folder: what is read several times is computed once."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/names-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return _closed(written(sure.unionByName(one.select(F.least("v", "fit").alias("key_a"), F.greatest("v", "fit").alias("key_b"))), new_folder(nodes.sparkSession, "names"), "twins"))
 
 
 def _smallest(twins: DataFrame) -> DataFrame:
@@ -431,10 +470,10 @@ def linked_records(entities: DataFrame, claims: DataFrame, nodes: DataFrame) ->
     trimmed = F.regexp_replace(F.coalesce(F.col("entity_id"), F.lit("")), BLANKS, "")
     last = entities.groupBy(trimmed.alias("key_a")).agg(F.max_by("name", F.struct("snapshot_no", F.col("delivered_at").isNotNull(), "delivered_at", "name")).alias("name"))
     subjects = claims.where("seq is not null").select(F.col("seq").cast("string").alias("key_a"), F.col("subject").alias("name"))
-    written = nodes.select(F.col("entity").alias("name")).unionByName(nodes.select(F.explode("aliases").alias("name"))).where("name is not null").distinct()
+    registered = nodes.select(F.col("entity").alias("name")).unionByName(nodes.select(F.explode("aliases").alias("name"))).where("name is not null").distinct()
     typed = last.select(F.lit("rita_entities").alias("record_table"), "key_a", "name").unionByName(subjects.select(F.lit("atomic_claims").alias("record_table"), "key_a", "name"))
-    typed = typed.where("name is not null").join(written, "name", "left_anti")
-    links = _written(link_names(typed.select("name").unionByName(written), nodes), "links")
+    typed = typed.where("name is not null").join(registered, "name", "left_anti")
+    links = written(link_names(typed.select("name").unionByName(registered), nodes), new_folder(nodes.sparkSession, "names"), "links")
     twins = node_twins(links, nodes)
     found = typed.join(best_links(links, twins), "name").select("record_table", "key_a", F.col("uid").alias("key_b"))
     return found.unionByName(twins.select(F.lit("canonical_nodes").alias("record_table"), "key_a", "key_b"))

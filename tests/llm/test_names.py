@@ -92,3 +92,17 @@ def test_short_and_alias_nodes_are_twins(spark):
     got = {(r["record_table"], r["key_a"], r["key_b"]) for r in names.linked_records(entities, claims, nodes).collect()}
     want = {("Ralomir Water Supply Board", "E-9001"), ("Ralomir Gas Trust Fund", "E-9002"), ("Michael Sosterim", "E-9003"), ("Elizabeth Sosterim", "E-9004"), ("Ternavo Rail Research Institute", "E-9006")}
     assert got == {("canonical_nodes", uid[a], b) for a, b in want} | {("atomic_claims", "1", uid["Michael Sosterim"]), ("atomic_claims", "2", uid["Ralomir Water Supply Board"])}
+
+
+def test_near_words_equal_brute_force():
+    rng = random.Random(6)
+    words = frozenset("".join(rng.choice("abcd") for _ in range(rng.randint(3, 10))) for _ in range(150))
+    most = lambda w: 1 if len(w) < 7 else 2
+    near = names.Near(words, most)
+    for _ in range(400):
+        x = list(rng.choice(sorted(words)))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(x) + 1)
+            x[at : at + rng.randrange(2)] = rng.choice(["", "a", "e"])
+        x = "".join(x)
+        assert near(x) == sorted((d, w) for w in words if (d := names.edits(x, w, most(w))) <= most(w))
