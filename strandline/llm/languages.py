@@ -29,8 +29,14 @@ SAMPLE, LONGEST, ROUNDS = 400, 20_000, 3
 ORDER, DISCOUNT = 4, 0.75
 #: Nats by which another language must be ahead for a change of language between sentences.
 SWITCH = 6.0
-#: A sentence is rejected if its cross-entropy exceeds its language's mean by so many deviations.
-REJECT = 10.0
+#: One document of so many of the sample is held out: rejection and confidence are set by these alone.
+HELD_OUT = 5
+#: A text is rejected if its cross-entropy is further from its language's than halfway between that of all
+#: but this share of held-out texts in it, and that of all but this share of those in the other languages,
+#: which stand for languages unknown; more letters than SETTLED say no more of a text's deviation.
+REJECTED, UNKNOWN, SETTLED = 0.001, 0.05, 200
+#: Letters of the pieces of held-out texts on which confidence is fitted.
+PIECES = (3, 6, 12, 24, 48)
 
 _LETTER = np.zeros(1 << 16, bool)
 _UPPER = np.array([chr(i).isupper() for i in range(1 << 16)])
@@ -168,8 +174,9 @@ class Models:
     rest: np.ndarray
     single_keys: np.ndarray
     single_rows: np.ndarray
-    mean: np.ndarray
-    spread: np.ndarray
+    mean: np.ndarray  # cross-entropy of held-out texts of each language
+    limit: np.ndarray  # deviation from it, per root of a letter, beyond which a text is rejected
+    slope: np.ndarray  # confidence: constant, and weight of the root of the lead in nats
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
         """[position, language] log chances of each character after its three predecessors."""
@@ -204,8 +211,8 @@ def fit(samples: dict[str, np.ndarray]) -> Models:
     if not len(keys):
         keys = lower = single = contexts = np.zeros(1, np.uint64)
         flat = np.full((1, len(LANGUAGES)), -12.0, np.float32)
-        return Models(keys, flat, lower, flat, contexts, flat * 0, single, flat, np.full(len(LANGUAGES), 99.0), np.ones(len(LANGUAGES)))
-    return Models(keys, log(keys, 4), lower, log(lower, 3), contexts, rest, single, log(single, 1), np.full(len(LANGUAGES), 99.0), np.ones(len(LANGUAGES)))
+        return Models(keys, flat, lower, flat, contexts, flat * 0, single, flat, np.full(len(LANGUAGES), 99.0), np.full(len(LANGUAGES), np.inf), np.array([0.0, 1.0]))
+    return Models(keys, log(keys, 4), lower, log(lower, 3), contexts, rest, single, log(single, 1), np.full(len(LANGUAGES), 99.0), np.full(len(LANGUAGES), np.inf), np.array([0.0, 1.0]))
 
 
 def pieces_of(text: str) -> np.ndarray:
@@ -228,11 +235,10 @@ def _summed(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts, axis=0) if len(starts) else values[:0]
 
 
-def train(rows: list[tuple[str, str]]) -> Models:
-    """Models from (language, text) pairs, some of them wrong."""
-    parts: list[np.ndarray] = []
-    owners: list[int] = []
-    for label, text in rows:
+def _parts(rows: list[tuple[str, str]]) -> tuple[list[np.ndarray], list[int], list[int]]:
+    """Passages of labelled texts in a script of the label's, their labels' languages and their rows."""
+    parts, owners, of = [], [], []
+    for n, (label, text) in enumerate(rows):
         codes = codes_of(text)
         starts = pieces_of(text)
         for a, b in zip(starts, [*starts[1:], len(codes)]):
@@ -245,26 +251,108 @@ def train(rows: list[tuple[str, str]]) -> Models:
             if (piece != 32).sum() >= 6 and (_COST[script, LANGUAGES.index(label)] > 0).sum() < 0.4 * (script > 0).sum():
                 parts.append(np.append(piece, np.uint64(32)))
                 owners.append(LANGUAGES.index(label))
-    owner = np.array(owners, np.int64)
+                of.append(n)
+    return parts, owners, of
+
+
+def train(rows: list[tuple[str, str]]) -> Models:
+    """Models from (language, text) pairs, some of them wrong; every fifth pair calibrates and is not fitted on."""
     models = fit({})
+    parts, owners, _ = _parts([r for n, r in enumerate(rows) if n % HELD_OUT])
     if not parts:
         return models
+    owner = np.array(owners, np.int64)
     sizes = np.array([len(p) for p in parts])
     starts = np.cumsum(sizes) - sizes
     whole = np.concatenate(parts)
-    letters = _summed((whole != 32).astype(np.float64), starts)
-    for round_ in range(ROUNDS):
+    for _ in range(ROUNDS):
         models = fit({l: np.concatenate([parts[i] for i in np.flatnonzero(owner == k)]) for k, l in enumerate(LANGUAGES) if (owner == k).any()})
-        total = np.concatenate([_summed(models.scores(whole[a:b]), starts[i:j] - a) for i, j, a, b in _blocks(starts, len(whole))])
-        owner = total.argmax(axis=1)
-    entropy = -total[np.arange(len(owner)), owner] / letters
-    for k in range(len(LANGUAGES)):
-        own = entropy[owner == k]
-        if len(own) > 5:
-            models.mean[k], models.spread[k] = own.mean(), max(own.std(), 0.05)
+        owner = _totals(models, whole, starts).argmax(axis=1)
+    calibrate(models, *held_out(rows, models))
     return models
 
 
+def _totals(models: Models, whole: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.concatenate([_summed(models.scores(whole[a:b]), starts[i:j] - a) for i, j, a, b in _blocks(starts, len(whole))])
+
+
+def held_out(rows: list[tuple[str, str]], models: Models) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores by position, letters by position, language by position) of the held-out texts that are in one language.
+
+    What language that is, the whole text tells; texts of which a passage tells another are left out.
+    """
+    none = np.zeros((0, len(LANGUAGES)), np.float32), np.zeros(0, bool), np.zeros(0, np.int64)
+    parts, _, of = _parts([r for n, r in enumerate(rows) if n % HELD_OUT == 0])
+    if not parts:
+        return none
+    sizes = np.array([len(p) for p in parts])
+    starts = np.cumsum(sizes) - sizes
+    whole = np.concatenate(parts)
+    value = np.concatenate([models.scores(whole[a:b]) for _, _, a, b in _blocks(starts, len(whole))])
+    each = _summed(value, starts)
+    at = np.array(of)
+    totals = np.zeros((at.max() + 1, len(LANGUAGES)))
+    np.add.at(totals, at, each)
+    main = totals.argmax(axis=1)
+    mixed = np.zeros(len(totals), bool)
+    np.logical_or.at(mixed, at, each.max(axis=1) - each[np.arange(len(at)), main[at]] > SWITCH)
+    keep = np.repeat(~mixed[at], sizes)
+    return (value[keep], (whole != 32)[keep], np.repeat(main[at], sizes)[keep]) if keep.any() else none
+
+
+def _cuts(letters: np.ndarray, language: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
+    """Starts of runs of about so many letters in turn, each within one language."""
+    count = np.cumsum(letters)
+    ends, total, k = [0], 0, 0
+    while total < count[-1]:
+        total += sizes[k % len(sizes)]
+        ends.append(int(np.searchsorted(count, total)) + 1)
+        k += 1
+    return np.unique(np.concatenate([[e for e in ends if e < len(letters)], np.flatnonzero(np.diff(language)) + 1])).astype(np.int64)
+
+
+def pieces_told(value: np.ndarray, letters: np.ndarray, language: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """For pieces of the texts: leads in nats, whether the leader is right, letters, true language, cross-entropy in each."""
+    starts = _cuts(letters, language, sizes)
+    total, n, true = _summed(value.astype(np.float64), starts), _summed(letters.astype(np.float64), starts), language[starts]
+    some = n >= 2
+    total, n, true = total[some], n[some], true[some]
+    ordered = np.sort(total, axis=1)
+    return ordered[:, -1] - ordered[:, -2], total.argmax(axis=1) == true, n, true, -total / n[:, None]
+
+
+def calibrate(models: Models, value: np.ndarray, letters: np.ndarray, language: np.ndarray) -> None:
+    """Sets what is rejected, and how sure a lead is, by held-out texts."""
+    if not len(value):
+        return
+    _, _, n, true, entropy = pieces_told(value, letters, language, (20, 40, 80, SETTLED))
+    long = n >= 20
+    n, true, entropy = n[long], true[long], entropy[long]
+    for k in range(len(LANGUAGES)):
+        own = true == k
+        if own.sum() < 20 or (~own).sum() < 20:
+            continue
+        models.mean[k] = np.average(entropy[own, k], weights=n[own])
+        far = (entropy[:, k] - models.mean[k]) * np.sqrt(np.minimum(n, SETTLED))
+        most = max(np.quantile(far[own], 1 - REJECTED), 0.0)
+        models.limit[k] = max(most, (most + np.quantile(far[~own], UNKNOWN)) / 2)
+    lead, right, *_ = pieces_told(value, letters, language, PIECES)
+    x = np.stack([np.ones(len(lead)), np.sqrt(lead)], axis=1)
+    w = np.array([0.0, 1.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (right - p) - 1e-3 * (w - [0.0, 1.0]))
+        w += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-6:
+            break
+    models.slope = w
+
+
+def confidence_of(lead: np.ndarray, models: Models) -> np.ndarray:
+    """The share of right answers among held-out pieces with such a lead."""
+    return 1 / (1 + np.exp(-np.clip(models.slope[0] + models.slope[1] * np.sqrt(np.maximum(lead, 0)), -30, 30)))
+
+
 def _blocks(starts: np.ndarray, end: int, size: int = 1 << 20) -> Iterator[tuple[int, int, int, int]]:
     """(first, last, from, to): runs of passages of about ``size`` positions."""
     i = 0
@@ -296,7 +384,8 @@ def segments_of(texts: list[str], models: Models) -> list[list[tuple[int, int, s
 
     A path that changes language gains more than ``SWITCH`` on the text's best language. No path gains
     more than each smallest passage does in its own best language, so only texts in which these gains
-    sum up to that are cut into sentences; the others would come out in one language.
+    sum up to that, and in which the best path over the smallest passages changes, are cut into sentences;
+    the others would come out in one language.
     """
     codes = [codes_of(t) for t in texts]
     pieces = [ends_of(t) for t in texts]
@@ -322,6 +411,11 @@ def segments_of(texts: list[str], models: Models) -> list[list[tuple[int, int, s
         main = doc_total.argmax(axis=1)
         ahead = total.max(axis=1) - total[np.arange(len(of)), main[of]]
         several = np.bincount(of, ahead, len(part)) > SWITCH - 0.01
+        bounds = np.searchsorted(of, np.arange(len(part) + 1))
+        for m in np.flatnonzero(several):
+            # a path over sentences is one over their passages, too: if the best of those doesn't change, none does
+            lang = path(total[bounds[m] : bounds[m + 1]])
+            several[m] = bool((lang != lang[0]).any())
         mixed = np.flatnonzero(several)
         which, a, b = sentences.spans([texts[part[m]] for m in mixed]) if len(mixed) else (np.zeros(0, np.int64),) * 3
         for p, d in enumerate(part):
@@ -351,14 +445,11 @@ def segments_of(texts: list[str], models: Models) -> list[list[tuple[int, int, s
 
 
 def _verdict(total: np.ndarray, letters: float, k: int, models: Models) -> tuple[str, float]:
-    """Language and confidence: the chance of the language against the next one, its cross-entropies
-    weighed as if at most 40 letters were independent of each other."""
-    entropy = -total / max(letters, 1.0)
-    others = np.delete(entropy, k)
-    margin = float(others.min() - entropy[k]) * min(float(letters), 40.0)
-    confidence = float(1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30))))
-    rejected = letters >= 20 and entropy[k] > models.mean[k] + REJECT * models.spread[k]
-    return ("und" if rejected else LANGUAGES[k]), confidence
+    """Language and confidence; ``und`` for a text further from its language than held-out texts are."""
+    entropy = -float(total[k]) / max(float(letters), 1.0)
+    lead = float(total[k] - np.delete(total, k).max())
+    far = (entropy - models.mean[k]) * np.sqrt(min(float(letters), SETTLED)) > models.limit[k]
+    return ("und" if letters >= 20 and far else LANGUAGES[k]), float(confidence_of(lead, models))
 
 
 def sample_of(documents: DataFrame) -> list[tuple[str, str]]:

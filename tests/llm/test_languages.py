@@ -105,3 +105,24 @@ def test_the_gate_loses_no_segment(spark, monkeypatch):
     gated = languages.segments_of(texts, models)
     monkeypatch.setattr(languages.np, "bincount", lambda of, weights, n: np.full(n, 1e9))
     assert gated == languages.segments_of(texts, models)
+
+
+def test_confidence_is_calibrated_on_held_out_texts(spark):
+    """On texts that neither the models nor the calibration saw, confidence is the share of right answers within 3 %."""
+    import numpy as np
+
+    rows = [(languages.label_of(r["lang"]), r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("lang", "text").collect()]
+    rows = sorted((l, t) for l, t in rows if l and t and len(t) < 6000)
+    models = languages.train([r for n, r in enumerate(rows) if n % 4])
+    fresh = [r for n, r in enumerate(rows) if n % 4 == 0]
+    value, letters, language = languages.held_out([x for r in fresh for x in (r, *[("en", "")] * (languages.HELD_OUT - 1))], models)
+    lead, right, *_ = languages.pieces_told(value, letters, language, languages.PIECES)
+    sure = languages.confidence_of(lead, models)
+    assert len(lead) > 1000 and abs(sure.mean() - right.mean()) < 0.03 and ((sure - right) ** 2).mean() < 0.05 and np.all((0 < sure) & (sure < 1))
+
+
+def test_texts_in_unknown_languages_are_rejected(spark):
+    rows = [(languages.label_of(r["lang"]), r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("lang", "text").collect()]
+    models = languages.train(sorted((l, t) for l, t in rows if l and t and len(t) < 6000))
+    strange = ["Wszystkie dzieci wiedzą, że jesienią liście spadają z drzew, a ptaki odlatują do ciepłych krajów nad morzem.", "Minden gyerek tudja, hogy ősszel lehullanak a levelek a fákról, és a madarak elköltöznek melegebb vidékre."]
+    assert [found[0][2] for found in languages.segments_of(strange, models)] == ["und", "und"]
