@@ -8,19 +8,20 @@ are then sampled by these probabilities, with one factor per source that makes i
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.tokens import with_tokens
-from strandline.session import ensure_checkpoint_dir
+from strandline.session import new_folder, written
 
 #: Slices of the sampling order in which a source's tokens are counted before one slice is looked into.
 SLICES = 4096
-#: Cells of the contingency table that may be fitted; their number is that of sources x languages x topics.
-MOST_CELLS = 100_000
+#: Topics with less than this share of all tokens have one margin together, so a table has at most
+#: sources x 13 languages x (1 / share + 1) cells.
+RARE = 0.0005
+#: Cells' uses are broadcast up to so many rows; beyond, they are joined by their keys.
+BROADCAST_ROWS = 200_000
 # Three-letter codes of languages whose two-letter codes are in use.
 THREE = dict(x.split("=") for x in "eng=en fra=fr fre=fr por=pt spa=es deu=de ger=de swa=sw rus=ru ara=ar hin=hi zho=zh chi=zh jpn=ja tha=th".split())
 
@@ -75,16 +76,17 @@ def mixed(documents: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFra
     a document of its own with its own draw. Targets of null or zero share take nothing.
     """
     spark = documents.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/mixing-{uuid.uuid4().hex}"
-    rows = documents.where("source is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", language(F.col("lang")).alias("language"), F.coalesce("uid", F.lit("")).alias("uid"), "text")
+    folder = new_folder(spark, "mixing")
+    wanted = targets.where("target_share > 0 and source is not null").select("source").distinct()
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", language(F.col("lang")).alias("language"), F.coalesce("uid", F.lit("")).alias("uid"), "text").join(wanted, "source", "left_semi")
     sectors = nodes.where("uid is not null").groupBy("uid").agg(F.min("sector").alias("topic"))
     sized = with_tokens(rows).where("tokens > 0").join(sectors, "uid", "left").select("doc_id", "source", "language", F.coalesce("topic", F.lit("none")).alias("topic"), "tokens")
-    sized.write.parquet(f"{folder}/sized")
-    sized = spark.read.parquet(f"{folder}/sized").withColumn("item", F.monotonically_increasing_id())
-    cells_df = sized.groupBy("source", "language", "topic").agg(F.sum("tokens").alias("have"))
-    cells = cells_df.limit(MOST_CELLS + 1).collect()
-    if len(cells) > MOST_CELLS:
-        raise ValueError("too many sources, languages and topics to fit")
+    # equal rows are counted, then told apart by their number: draws don't depend on where a row is read
+    sized = written(sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("copies")), folder, "sized").withColumn("item", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copies")
+    topics = sized.groupBy("topic").agg(F.sum("tokens").alias("t"))
+    usual = [r["topic"] for r in topics.where(F.col("t") >= RARE * F.lit(topics.agg(F.sum("t")).collect()[0][0] or 0)).collect()]
+    sized = sized.withColumn("topic", F.when(F.col("topic").isin(*usual), F.col("topic")).otherwise("rare"))
+    cells = sized.groupBy("source", "language", "topic").agg(F.sum("tokens").alias("have")).collect()
     aims = targets.where("target_share > 0 and source is not null").groupBy("mix_id", "source").agg(F.sum("target_share").alias("share"), F.max(F.greatest(F.lit(1), F.coalesce("max_repeats", F.lit(1)))).alias("most")).collect()
     codes = lambda values: np.unique(np.array(values), return_inverse=True)
     plan = []
@@ -101,15 +103,14 @@ def mixed(documents: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFra
                     plan.append((mix, c["source"], c["language"], c["topic"], float(uses), float(own[c["source"]]["share"]), int(own[c["source"]]["most"]), float(uses * c["have"])))
     uses = spark.createDataFrame(plan, "mix_id int, source string, language string, topic string, uses double, target_share double, most int, wanted double")
     goals = uses.groupBy("mix_id", "source").agg(F.sum("wanted").alias("goal"))
-    drawn = sized.join(F.broadcast(uses), ["source", "language", "topic"])
+    drawn = sized.join(F.broadcast(uses) if len(plan) <= BROADCAST_ROWS else uses, ["source", "language", "topic"])
     whole = F.floor("uses")
     chance = F.col("uses") - F.col("whole")
     # a document's place in the sampling order: those before 1 would be drawn by its chance alone
     place = (F.pmod(F.xxhash64("doc_id", "item", "mix_id"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
     drawn = drawn.withColumn("whole", whole.cast("int")).withColumn("place", F.when((chance > 1e-9) & (F.col("whole") < F.col("most")), place / chance)).drop("uses", "wanted")
     drawn = drawn.withColumn("slice", F.when(F.col("place").isNotNull(), F.least(F.lit(SLICES - 1), F.floor(F.col("place") * (SLICES // 4)))).cast("int"))
-    drawn.write.parquet(f"{folder}/drawn")
-    drawn = spark.read.parquet(f"{folder}/drawn")
+    drawn = written(drawn, folder, "drawn")
     fixed = drawn.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("whole")).alias("fixed"))
     slices = drawn.where("slice is not null").groupBy("mix_id", "source", "slice").agg(F.sum("tokens").alias("t"))
     upto = Window.partitionBy("mix_id", "source").orderBy("slice")

@@ -2,13 +2,12 @@
 
 Sum-of-squares packing: containers in use are counted by their fill level, and each item goes to the
 level that leaves the least sum of squared counts. The documents are cut into shards of bounded size
-that are packed side by side; what each shard leaves partly filled is packed once more, as items, with
+that are packed side by side, after pieces that fill a container by themselves; what each shard leaves partly filled is packed once more, as items, with
 that of other shards.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.tokens import with_tokens
-from strandline.session import ensure_checkpoint_dir
+from strandline.session import new_folder, written
 
 #: Items of a shard, about, and shards whose leftovers are packed together.
 SHARD, TOGETHER = 20_000, 64
-#: Kinds of containers that one call may fill.
-MOST_KINDS = 200
+#: Kinds of containers that one literal list names.
+KINDS_AT_ONCE = 200
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,33 +77,32 @@ def packed(documents: DataFrame, limits: DataFrame) -> DataFrame:
     below one token take nothing.
     """
     spark = documents.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/packing-{uuid.uuid4().hex}"
-    with_tokens(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).where("tokens > 0").write.parquet(f"{folder}/sizes")
-    sizes = spark.read.parquet(f"{folder}/sizes")
+    folder = new_folder(spark, "packing")
+    sizes = written(with_tokens(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).where("tokens > 0"), folder, "sizes")
     # tells repeated rows apart; it only has to be unique
     sizes = sizes.withColumn("item", F.monotonically_increasing_id())
     shards = max(1, round(sizes.count() / SHARD))
-    kinds = limits.where("capacity_tokens >= 1 and pack_id is not null").select("pack_id", F.col("capacity_tokens").cast("bigint").alias("capacity"), F.coalesce(F.col("separator_tokens"), F.lit(0)).cast("bigint").alias("separator")).limit(MOST_KINDS + 1).collect()
-    if len(kinds) > MOST_KINDS:
-        raise ValueError("too many kinds of containers")
-    # every text is packed once for each kind of container
-    each = F.array(*[F.struct(*[F.lit(k[c]).cast("bigint").alias(c) for c in ("pack_id", "capacity", "separator")]) for k in kinds]) if kinds else F.expr("array_remove(array(named_struct('pack_id', 0L, 'capacity', 1L, 'separator', 0L)), named_struct('pack_id', 0L, 'capacity', 1L, 'separator', 0L))")
+    kinds = limits.where("capacity_tokens >= 1 and pack_id is not null").select(F.col("pack_id").cast("bigint").alias("pack_id"), F.col("capacity_tokens").cast("bigint").alias("capacity"), F.coalesce(F.col("separator_tokens"), F.lit(0)).cast("bigint").alias("separator"))
+    kinds = [tuple(k) for k in kinds.collect()]  # one row per kind of container
+    each = sizes.where("false").select("doc_id", "tokens", "item", *[F.lit(0).cast("bigint").alias(c) for c in ("pack_id", "capacity", "separator")])
+    for at in range(0, len(kinds), KINDS_AT_ONCE):
+        some = F.array(*[F.struct(*[F.lit(x).cast("bigint").alias(c) for c, x in zip(("pack_id", "capacity", "separator"), k)]) for k in kinds[at : at + KINDS_AT_ONCE]])
+        each = each.unionByName(sizes.select("doc_id", "tokens", "item", F.inline(some)))
+    each = each.withColumn("pack_id", F.col("pack_id").cast("int")).withColumn("whole", F.floor(F.col("tokens") / F.col("capacity")))
+    # pieces that fill a container need no packing
+    full = each.where("whole > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)))
+    full = full.select("pack_id", "doc_id", (F.col("piece") + 1).cast("int").alias("piece_no"), (F.col("piece") * F.col("capacity")).alias("token_start"), F.col("capacity").alias("tokens"))
+    full = written(full, folder, "full").select("pack_id", (F.lit(-1) - F.monotonically_increasing_id()).alias("container_id"), F.lit(1).alias("slot"), "doc_id", "piece_no", "token_start", "tokens")
     pieces = (
-        sizes.withColumn("kind", F.explode(each)).select("doc_id", "tokens", "item", "kind.*").withColumn("pack_id", F.col("pack_id").cast("int"))
-        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("tokens") - 1) / F.col("capacity")))))
+        each.withColumn("held", F.col("tokens") - F.col("whole") * F.col("capacity")).where("held > 0")
         .select(
-            "pack_id", "doc_id", "item", F.col("piece").cast("int").alias("piece"), (F.col("piece") * F.col("capacity")).alias("token_start"),
-            F.least("capacity", F.col("tokens") - F.col("piece") * F.col("capacity")).alias("held"), "separator", (F.col("capacity") + F.col("separator")).alias("limit"),
-            F.xxhash64("doc_id", "item").alias("order"),
+            "pack_id", "doc_id", "item", F.col("whole").cast("int").alias("piece"), (F.col("whole") * F.col("capacity")).alias("token_start"), "held", "separator", (F.col("capacity") + F.col("separator")).alias("limit"),
+            F.xxhash64("doc_id", "item").alias("order"), (F.col("held") + F.col("separator")).alias("size"), F.pmod(F.xxhash64("item", F.lit(7)), F.lit(shards)).cast("int").alias("shard"),
         )
-        .withColumn("size", F.col("held") + F.col("separator"))
-        .withColumn("shard", F.pmod(F.xxhash64("item", F.lit(7)), F.lit(shards)).cast("int"))
     )
     kept = "pack_id int, shard int, bin bigint, level bigint, limit bigint, order bigint, doc_id bigint, piece int, token_start bigint, held bigint"
     names = [x.split()[0] for x in kept.split(", ")]
-    first = pieces.groupBy("pack_id", "shard").applyInPandas(lambda f: _pack(f)[names], kept)
-    first.write.parquet(f"{folder}/first")
-    first = spark.read.parquet(f"{folder}/first")
+    first = written(pieces.groupBy("pack_id", "shard").applyInPandas(lambda f: _pack(f)[names], kept), folder, "first")
     # what is partly filled after the shards is an item of the second round
     left = first.where("level < limit").select("pack_id", "shard", "bin", F.col("level").alias("size"), "limit").distinct()
     again = "pack_id int, shard int, bin bigint, container bigint"
@@ -122,4 +120,4 @@ def packed(documents: DataFrame, limits: DataFrame) -> DataFrame:
     own = F.col("shard").cast("bigint") * F.lit(1 << 33) + F.col("bin")
     placed = first.withColumn("container_id", F.coalesce("container", own))
     order = Window.partitionBy("pack_id", "container_id").orderBy("shard", "bin", "order", "doc_id", "piece")
-    return placed.select("pack_id", "container_id", F.row_number().over(order).alias("slot"), "doc_id", (F.col("piece") + 1).alias("piece_no"), "token_start", F.col("held").alias("tokens"))
+    return placed.select("pack_id", "container_id", F.row_number().over(order).alias("slot"), "doc_id", (F.col("piece") + 1).alias("piece_no"), "token_start", F.col("held").alias("tokens")).unionByName(full)
