@@ -166,11 +166,6 @@ def render_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return graph.markdown(table(spark, sf, "canonical_nodes"))
 
 
-@query("SELECT uid, unnest(list_filter([CASE WHEN coalesce(trim(uid), '') = '' THEN 'uid' END, CASE WHEN coalesce(trim(entity), '') = '' THEN 'entity' END, CASE WHEN coalesce(trim(summary), '') = '' THEN 'summary' END, CASE WHEN coalesce(len(sources), 0) < 1 THEN 'sources' END], lambda x: x IS NOT NULL)) AS problem FROM canonical_nodes")
-def row_validate(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.violations(table(spark, sf, "canonical_nodes"))
-
-
 @query(f"""WITH r AS (SELECT evidence_id AS seq, source AS provider, coalesce(TRY_CAST(metadata['rank'] AS INTEGER), 0) AS rank, {sql.identity('url')} AS url_key FROM evidence),
 o AS (SELECT url_key, provider, rank, min(seq) AS seq FROM r WHERE url_key <> '' GROUP BY ALL)
 SELECT url_key, arg_min(provider, seq) AS first_provider, string_agg(concat_ws(':', provider, CAST(rank AS VARCHAR)), ',' ORDER BY seq, provider) AS providers, min(rank) AS best_rank FROM o GROUP BY url_key""")
