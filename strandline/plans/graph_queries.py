@@ -56,12 +56,17 @@ def _split(x: str) -> str:
     return sql.match_form(f"regexp_replace({bare}, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z]{{2,5}}($|[^\\p{{L}}\\p{{N}}_])', ' ', 'g')")
 
 
-@query(f"""WITH m AS (SELECT mention, {sql.match_form('mention')} AS key, coalesce({sql.acronym_in('mention')}, CASE WHEN regexp_full_match(mention, '[A-Za-z]{{2,5}}') THEN upper(mention) END) AS acr, {_split('mention')} AS part FROM {_MENTIONS}),
+def resolved_sql(mentions: str) -> str:
+    """SQL of ``resolve.resolve`` over a relation of distinct ``mention``."""
+    return f"""WITH m AS (SELECT mention, {sql.match_form('mention')} AS key, coalesce({sql.acronym_in('mention')}, CASE WHEN regexp_full_match(mention, '[A-Za-z]{{2,5}}') THEN upper(mention) END) AS acr, {_split('mention')} AS part FROM {mentions}),
 n AS (SELECT * FROM {_INDEX}), a AS (SELECT * FROM {_ACR}),
 j AS (SELECT m.mention, m.key, n1.uid AS u1, n1.n_entities AS c1, a.uid AS u2, a.n_entities AS c2, n3.uid AS u3, n3.n_entities AS c3 FROM m LEFT JOIN n n1 ON m.key = n1.key LEFT JOIN a ON m.acr = a.acronym LEFT JOIN n n3 ON m.part = n3.key),
 r AS (SELECT *, CASE WHEN coalesce(key, '') = '' THEN 0 WHEN c1 > 1 THEN 1 WHEN c1 = 1 THEN 2 WHEN c2 = 1 THEN 3 WHEN c2 > 1 THEN 4 WHEN c3 = 1 THEN 5 ELSE 6 END AS rule FROM j)
 SELECT mention, CASE WHEN rule IN (1, 4) THEN 'AMBIGUOUS' WHEN rule IN (2, 3, 5) THEN 'RESOLVED' ELSE 'NEW_ENTITY' END AS state, CASE rule WHEN 2 THEN u1 WHEN 3 THEN u2 WHEN 5 THEN u3 END AS uid,
- CAST(CASE WHEN rule IN (1, 2) THEN 1.0 WHEN rule = 3 THEN 0.95 WHEN rule IN (4, 5) THEN 0.9 ELSE 0.0 END AS DOUBLE) AS confidence FROM r""")
+ CAST(CASE WHEN rule IN (1, 2) THEN 1.0 WHEN rule = 3 THEN 0.95 WHEN rule IN (4, 5) THEN 0.9 ELSE 0.0 END AS DOUBLE) AS confidence FROM r"""
+
+
+@query(resolved_sql(_MENTIONS))
 def resolve_cascade(spark: SparkSession, sf: str) -> DataFrame:
     mentions = table(spark, sf, "atomic_claims").where("subject is not null").select(F.col("subject").alias("mention"))
     return resolve.resolve(mentions, table(spark, sf, "canonical_nodes"))
