@@ -188,4 +188,4 @@ def front_value(c: Column, key: str) -> Column:
 
 
 def wikilinks(c: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\[\[([^\]]+)\]\]"), 1), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\[\[([^\]]+)\]\]"), 1), lambda x: F.trim(x)), lambda x: x != "")

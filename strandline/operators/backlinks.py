@@ -21,7 +21,7 @@ def backlinks(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
 def references(body: Column, links: Column) -> Column:
     """Distinct references of a note: its links, then what follows ``references:`` on a line, by commas or semicolons."""
     lines = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(?im)^[ \t]*references?:[ \t]*([^\n]*)$"), 1)
-    named = F.filter(F.transform(F.flatten(F.transform(lines, lambda x: F.split(x, "[;,]"))), F.trim), lambda x: x != "")
+    named = F.filter(F.transform(F.flatten(F.transform(lines, lambda x: F.split(x, "[;,]"))), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_distinct(F.concat(links, named))
 
 
@@ -46,7 +46,7 @@ def top_fuzzy(matches: DataFrame, k: int = 3) -> DataFrame:
 
 
 def parentheticals(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(c, F.lit(r"\(([^)]+)\)"), 1), F.trim)
+    return F.transform(F.regexp_extract_all(c, F.lit(r"\(([^)]+)\)"), 1), lambda x: F.trim(x))
 
 
 def acronyms(c: Column) -> Column:

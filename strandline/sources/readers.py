@@ -77,7 +77,7 @@ def note_parts(value: Column) -> dict[str, Column]:
     """Columns of a Markdown text: title, entity, body, distinct links (labels of inline links, then wikilinks)."""
     heading = F.regexp_extract(value, r"(?m)^#\s+(.*)$", 1)
     title = F.coalesce(*[text.nonempty(text.front_value(value, k)) for k in TITLE_KEYS], text.nonempty(F.trim(heading)), F.lit(""))
-    inline = F.filter(F.transform(F.regexp_extract_all(value, F.lit(r"(?<!\[)\[([^\]\[]+)\]\([^)]*\)"), 1), F.trim), lambda x: x != "")
+    inline = F.filter(F.transform(F.regexp_extract_all(value, F.lit(r"(?<!\[)\[([^\]\[]+)\]\([^)]*\)"), 1), lambda x: F.trim(x)), lambda x: x != "")
     return {"title": title, "entity": text.front_value(value, "entity"), "body": text.body(value), "links": F.array_distinct(F.concat(inline, text.wikilinks(value)))}
 
 
