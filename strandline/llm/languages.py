@@ -84,15 +84,18 @@ def label_of(label: str | None) -> str | None:
 
 def codes_of(text: str) -> np.ndarray:
     """One code per character: letters in lower case, all else blank; so are front matter, links, addresses and long names."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = _CODE[np.where(points < 1 << 16, points, 32)]
-    m = _FRONT.match(text)
-    if m:
+    low = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
+    if len(low) != len(text):  # characters beyond the first plane tell no language
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = np.where(points < 1 << 16, points, 32).astype(np.uint16)
+    codes = _CODE[low]
+    if text.lstrip()[:3] == "---" and (m := _FRONT.match(text)):
         codes[: m.end()] = 32
-    for m in _ASIDE.finditer(text):
-        codes[m.start() : m.end()] = 32
-    low = np.where(points < 1 << 16, points, 32)
-    if _UPPER[low].sum() < 0.6 * _CASED[low].sum():
+    if "[" in text or "@" in text or "www" in text or "://" in text or "](" in text:
+        for m in _ASIDE.finditer(text):
+            codes[m.start() : m.end()] = 32
+    upper = np.count_nonzero(_UPPER[low])
+    if upper and upper < 0.6 * np.count_nonzero(_CASED[low]):
         for m in _NAMES.finditer(text):
             codes[m.start() : m.end()] = 32
     return codes
@@ -413,9 +416,15 @@ def segments_of(texts: list[str], models: Models) -> list[list[tuple[int, int, s
         several = np.bincount(of, ahead, len(part)) > SWITCH - 0.01
         bounds = np.searchsorted(of, np.arange(len(part) + 1))
         for m in np.flatnonzero(several):
-            # a path over sentences is one over their passages, too: if the best of those doesn't change, none does
-            lang = path(total[bounds[m] : bounds[m + 1]])
-            several[m] = bool((lang != lang[0]).any())
+            # a path over sentences is one over their passages, too: if the best of those doesn't change, none does;
+            # it changes only if some run of passages gains more than a change costs in another language
+            own = total[bounds[m] : bounds[m + 1]]
+            run = np.cumsum(own - own[:, main[m] : main[m] + 1], axis=0, dtype=np.float64)
+            least = np.minimum.accumulate(np.concatenate([np.zeros((1, run.shape[1])), run[:-1]]), axis=0)
+            several[m] = bool(((run - least).max(axis=0) > SWITCH - 0.01).any())
+            if several[m]:
+                lang = path(own)
+                several[m] = bool((lang != lang[0]).any())
         mixed = np.flatnonzero(several)
         which, a, b = sentences.spans([texts[part[m]] for m in mixed]) if len(mixed) else (np.zeros(0, np.int64),) * 3
         for p, d in enumerate(part):
