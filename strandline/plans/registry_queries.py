@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import text
-from strandline.operators import backlinks, quality, resolve
+from strandline.operators import backlinks, candidates, quality, resolve
 from strandline.plans import sql, text_queries
 from strandline.plans.graph_queries import QUERIES as _GRAPH
 from strandline.plans.graph_queries import SQL as _GRAPH_SQL
@@ -131,3 +131,13 @@ def route_arrows(spark: SparkSession, sf: str) -> DataFrame:
 def fuzzy_top(spark: SparkSession, sf: str) -> DataFrame:
     """The three nearest registered entities of each name of the intake."""
     return backlinks.top_fuzzy(_GRAPH["resolve_fuzzy"](spark, sf))
+
+
+@query()
+def candidate_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """The registry's candidates of each name of the intake, those whose words have the same initials, and the choice among them."""
+    initials = lambda c: text.acronym_of(text.match_form(c))
+    asked = table(spark, sf, "rita_entities").where("name is not null").groupBy(F.col("name").alias("requested")).agg(F.max("rita_type").alias("entity_type")).withColumn("k", initials(F.col("requested"))).where("k is not null")
+    nodes = table(spark, sf, "canonical_nodes").where("entity is not null").select("uid", F.col("entity").alias("name"), F.col("summary").alias("description"), F.lit(None).cast("string").alias("instance_of"), F.col("country").alias("candidate_country"), initials(F.col("entity")).alias("k"))
+    pairs = asked.join(nodes, "k").withColumn("country", F.lit(None).cast("string"))
+    return candidates.chosen(candidates.judged(pairs), "uid")
