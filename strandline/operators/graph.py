@@ -53,8 +53,9 @@ def valid_edges(edges: DataFrame, index: DataFrame) -> DataFrame:
     return joined.select("uid", "predicate", "target", F.when(F.col("n_entities") == 1, F.col("target_uid")).alias("target_uid"), verdict.alias("verdict"))
 
 
-def edge_id(source: Column, target: Column, kind: Column) -> Column:
-    return F.concat(F.lit("REL-"), text.short_hash([source, target, kind]))
+def edge_id(source: Column, target: Column, kind: Column, sources: Column) -> Column:
+    """An edge's identifier, from its ends, its kind and the ids of the sources that tell of it, in their order."""
+    return F.concat(F.lit("REL-"), text.short_hash([source, target, kind, F.array_join(F.coalesce(sources, F.array().cast("array<string>")), ",")]))
 
 
 def csv_rows(nodes: DataFrame) -> DataFrame:

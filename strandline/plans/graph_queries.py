@@ -141,12 +141,13 @@ def edge_insert(spark: SparkSession, sf: str) -> DataFrame:
     return graph.valid_edges(_edges(spark, sf), resolve.name_index(table(spark, sf, "canonical_nodes")))
 
 
-@query(f"""SELECT source_uid, target_uid, predicate, 'REL-' || left(sha256(source_uid || '|' || target_uid || '|' || predicate), 16) AS edge_id FROM (SELECT DISTINCT e.uid AS source_uid, i.uid AS target_uid, e.predicate
- FROM {_EDGES} e JOIN {_INDEX} i ON {sql.match_form('e.target')} = i.key AND i.n_entities = 1 WHERE e.predicate <> '' AND e.target <> '' AND i.uid <> e.uid)""")
+@query(f"""SELECT source_uid, target_uid, predicate, 'REL-' || left(sha256(source_uid || '|' || target_uid || '|' || predicate || '|' || array_to_string(coalesce(sources, []), ',')), 16) AS edge_id FROM (SELECT DISTINCT e.uid AS source_uid, i.uid AS target_uid, e.predicate
+ FROM {_EDGES} e JOIN {_INDEX} i ON {sql.match_form('e.target')} = i.key AND i.n_entities = 1 WHERE e.predicate <> '' AND e.target <> '' AND i.uid <> e.uid) d JOIN (SELECT uid, sources FROM canonical_nodes) s ON s.uid = d.source_uid""")
 def edge_list(spark: SparkSession, sf: str) -> DataFrame:
     rows = graph.valid_edges(_edges(spark, sf), resolve.name_index(table(spark, sf, "canonical_nodes"))).where("verdict = 'accepted'")
     rows = rows.select(F.col("uid").alias("source_uid"), "target_uid", "predicate").distinct()
-    return rows.withColumn("edge_id", graph.edge_id(F.col("source_uid"), F.col("target_uid"), F.col("predicate")))
+    told = table(spark, sf, "canonical_nodes").select(F.col("uid").alias("source_uid"), "sources")
+    return rows.join(told, "source_uid").withColumn("edge_id", graph.edge_id(F.col("source_uid"), F.col("target_uid"), F.col("predicate"), F.col("sources"))).drop("sources")
 
 
 _LIST = lambda c: f"array_to_string(coalesce({c}, []), '|') AS {c}"
