@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import vocabulary as v
 from strandline.operators import classify, quality, relevance
 from strandline.plans import sql
+from strandline.seq import bound
 from strandline.session import table
 
 QUERIES, SQL = {}, {}
@@ -174,13 +175,18 @@ _REL, _ASSOC = v.longest_first(v.RELATIONSHIPS), v.longest_first(v.ASSOCIATIONS)
 _SECTOR_WORDS = [x.lower() for x in v.longest_first(v.SECTORS)]
 
 
-def _classes(source: str) -> str:
-    """SQL that classifies ``source``, a relation with seq, said, subject, predicate and object."""
+def _triples(source: str) -> str:
+    """SQL of the subject, predicate and object of ``source``, a relation with seq, owner, said, subject, predicate and object."""
     shape = " ".join(f"WHEN {_match('said', s)} THEN {i}" for i, s in enumerate(classify.shapes(), 1))
     part = lambda k: "CASE k " + " ".join(f"WHEN {i} THEN regexp_extract(said, {_q(s)}, {k})" for i, s in enumerate(classify.shapes(), 1)) + " END"
     given = "coalesce(nullif(subject, ''), nullif(predicate, ''), nullif(object, '')) IS NOT NULL"
-    triple = f"""(SELECT seq, owner, said, lower(said) AS low, {_CLEAN(f"CASE WHEN {given} THEN subject ELSE {part(1)} END")} AS s, {_CLEAN(f"CASE WHEN {given} THEN predicate ELSE lower({part(2)}) END")} AS p0, {_CLEAN(f"CASE WHEN {given} THEN object ELSE {part(3)} END")} AS o
+    return f"""(SELECT seq, owner, said, lower(said) AS low, {_CLEAN(f"CASE WHEN {given} THEN subject ELSE {part(1)} END")} AS s, {_CLEAN(f"CASE WHEN {given} THEN predicate ELSE lower({part(2)}) END")} AS p0, {_CLEAN(f"CASE WHEN {given} THEN object ELSE {part(3)} END")} AS o
  FROM (SELECT *, CASE {shape} END AS k FROM {source}))"""
+
+
+def _classes(source: str) -> str:
+    """SQL that classifies ``source``, a relation as ``_triples`` has it."""
+    triple = _triples(source)
     at = lambda b, x: f"instr(sq, {b} || ' ' || {x} || ' ')"
     rest = lambda b, x: f"trim(regexp_extract(substr(sq, {at(b, x)} + length({b}) + length({x}) + 2), '^([^.]*)', 1))"
     fit = lambda b, least: f"list_filter({_list(_REL)}, lambda x: {at(b, 'x')} > {least} AND {rest(b, 'x')} <> '' AND {rest(b, 'x')} <> who)[1]"
@@ -208,8 +214,19 @@ def _classes(source: str) -> str:
  CASE WHEN rule = 'is_a' OR rule = 'field' AND field_ = 'entity_type' THEN sub END AS subtype FROM (SELECT *, {rules} AS rule FROM {cols}))"""
 
 
-_GIVEN = _classes("(SELECT seq, subject AS owner, trim(coalesce(claim_text, '')) AS said, subject, predicate, object FROM atomic_claims)")
-_SPOKEN = _classes("(SELECT seq, subject AS owner, trim(coalesce(claim_text, '')) AS said, NULL::VARCHAR AS subject, NULL::VARCHAR AS predicate, NULL::VARCHAR AS object FROM atomic_claims)")
+_GIVEN_ROWS = "(SELECT seq, subject AS owner, trim(coalesce(claim_text, '')) AS said, subject, predicate, object FROM atomic_claims)"
+_SPOKEN_ROWS = "(SELECT seq, subject AS owner, trim(coalesce(claim_text, '')) AS said, NULL::VARCHAR AS subject, NULL::VARCHAR AS predicate, NULL::VARCHAR AS object FROM atomic_claims)"
+_GIVEN, _SPOKEN = _classes(_GIVEN_ROWS), _classes(_SPOKEN_ROWS)
+
+
+@query(f"SELECT seq, s AS subject, p0 AS predicate, md5(o) AS object FROM {_triples(_SPOKEN_ROWS)} WHERE s IS NOT NULL")
+def triplet_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """Subject, predicate and object of each claim's text, by the first shape that it has."""
+    none, said = F.lit(None).cast("string"), F.trim(F.coalesce("claim_text", F.lit("")))
+    rows = table(spark, sf, "atomic_claims").select("seq", said.alias("said"))
+    return bound(rows, "t", classify.triplet(F.col("said"), none, none, none)).where("t.s is not null").select("seq", F.col("t.s").alias("subject"), F.col("t.p").alias("predicate"), F.md5("t.o").alias("object"))
+
+
 _COLUMNS = "seq, category, target, predicate, field, subtype, rule"
 
 

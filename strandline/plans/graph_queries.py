@@ -91,17 +91,6 @@ def claim_sequence_ids(spark: SparkSession, sf: str) -> DataFrame:
     return numbered(rows.select("subject", "seq"), ["subject"], "seq", "n").select("subject", "seq", F.concat(F.lit("claim_"), F.lpad(F.col("n").cast("string"), 6, "0")).alias("claim_no"))
 
 
-_VERBS = "owns|supplies|operates|regulates|coordinates|publishes|signed|sold|funds|acquired|replaced|is a member of|is part of|is based in|reports to"
-
-
-@query(f"SELECT seq, regexp_extract(claim_text, '^(.+?)\\s+({_VERBS})\\s+(.+)$', 1) AS s, regexp_extract(claim_text, '^(.+?)\\s+({_VERBS})\\s+(.+)$', 2) AS p, md5(regexp_extract(claim_text, '^(.+?)\\s+({_VERBS})\\s+(.+)$', 3)) AS o FROM atomic_claims WHERE regexp_matches(claim_text, '^(.+?)\\s+({_VERBS})\\s+(.+)$')")
-def triplet_extract(spark: SparkSession, sf: str) -> DataFrame:
-    """Subject, verb and object of claims that put a known verb between two parts; the first such verb counts."""
-    shape = rf"^(.+?)\s+({_VERBS})\s+(.+)$"
-    rows = table(spark, sf, "atomic_claims").where(F.col("claim_text").rlike(shape))
-    return rows.select("seq", F.regexp_extract("claim_text", shape, 1).alias("s"), F.regexp_extract("claim_text", shape, 2).alias("p"), F.md5(F.regexp_extract("claim_text", shape, 3)).alias("o"))
-
-
 @query("""WITH r AS (SELECT * FROM atomic_claims WHERE coalesce(subject, '') <> '')
 SELECT subject, count(*) AS n_claims, count(DISTINCT source_url) AS n_sources, array_to_string(list_sort(list(DISTINCT predicate) FILTER (predicate IS NOT NULL)), ', ') AS predicates, arg_max(coalesce(claim_text, ''), (coalesce(confidence, -1), -seq)) AS summary FROM r GROUP BY subject""")
 def node_draft(spark: SparkSession, sf: str) -> DataFrame:
