@@ -44,7 +44,8 @@ def _entities() -> dict[str, str]:
 
 def decoded(c: Column) -> Column:
     """HTML entities as the characters they stand for, by name or number; others stay as they are."""
-    known = F.create_map(*[F.lit(x) for pair in _entities().items() for x in pair])
+    # one literal, as a map of literals would be walked by every rule of the optimizer
+    known = F.str_to_map(F.lit("\x01".join(f"{name}\x02{char}" for name, char in _entities().items())), F.lit("\x01"), F.lit("\x02"))
 
     def one(t: Column) -> Column:
         digits = F.regexp_extract(t, "^&#[xX]?([0-9a-fA-F]{1,6});$", 1)

@@ -57,9 +57,8 @@ def triplet(claim: Column, subject: Column, predicate: Column, obj: Column) -> C
     return out.otherwise(F.struct(*[F.lit(None).cast("string").alias(n) for n in "spo"]))
 
 
-def entity_type_of(target: Column) -> Column:
-    """The kind that an is-a claim's target names: a concept, another kind, a body, or by the words of a name."""
-    low = F.lower(target)
+def entity_type_of(low: Column) -> Column:
+    """The kind that an is-a claim's target, in lower case, names: a concept, another kind, a body, or by the words of a name."""
     named = (
         F.when(low.contains("cooperation") | low.contains("pool"), "cooperation").when(low.contains("authority"), "regulatory authority")
         .when(low.contains("development") & low.contains("community"), "development community").otherwise("organization")
@@ -67,33 +66,33 @@ def entity_type_of(target: Column) -> Column:
     return F.coalesce(_first_of(low, v.longest_first(v.CONCEPTS)), _first_of(low, v.longest_first(v.KINDS)), F.when(low.rlike(v.any_word(["body"])), "Body"), F.when(_has_any(low, NAME_WORDS), named))
 
 
-def location_of(claim: Column) -> Column:
-    low = F.lower(claim)
+def location_of(claim: Column, low: Column) -> Column:
+    """``low``: the claim in lower case, a column of its own, as every phrase is looked for in it."""
     fixed = F.coalesce(*[F.when(low.contains(k), name) for k, name in _PLACES.items()])
     others = [x for x in v.longest_first(v.REGIONS + v.COUNTRIES) if x not in _PLACES]
     return F.coalesce(fixed, _first_of(low, others), text.nonempty(text.title_case(F.trim(F.regexp_extract(claim, PLACED, 1)))))
 
 
-def sector_of(claim: Column) -> Column:
-    low = F.lower(claim)
+def sector_of(low: Column) -> Column:
     found = _first_of(low, [x.lower() for x in v.longest_first(v.SECTORS)])
     within = [text.nonempty(text.title_case(F.trim(F.regexp_extract(low, shape, 1)))) for shape in (IN_SECTOR, IN_INDUSTRY)]
     return F.coalesce(text.title_case(found), *within)
 
 
-def verb_relation(claim: Column, subject: Column) -> Column:
-    """(predicate, target) of the longest relationship verb after the subject, else after anything."""
-    low, who = text.squeeze(F.lower(claim)), F.lower(F.coalesce(subject, F.lit("")))
-    verbs = v.longest_first(v.RELATIONSHIPS)
+def verb_relation(low: Column, who: Column) -> Column:
+    """(predicate, target) of the longest relationship verb after the subject ``who``, else after anything.
 
-    def found(before) -> Column:
-        at = lambda p: F.position(F.concat(before, F.lit(" "), p, F.lit(" ")), low)
-        rest = lambda p: F.trim(F.regexp_extract(F.substr(low, at(p) + F.length(before) + F.length(p) + 2), r"^([^.]*)", 1))
-        fits = F.filter(F.array(*[F.lit(p) for p in verbs]), lambda p: (at(p) > (0 if before is who else 1)) & (rest(p) != "") & (rest(p) != who))
-        p = F.try_element_at(fits, F.lit(1))
-        return F.when(p.isNotNull(), F.struct(p.alias("p"), rest(p).alias("t")))
+    ``low`` is the claim in lower case with even blanks; both are columns of their own.
+    """
+    verbs = F.array(*[F.lit(p) for p in v.longest_first(v.RELATIONSHIPS)])
+
+    def found(before: Column, least: int) -> Column:
+        places = F.transform(verbs, lambda p: F.struct(p.alias("p"), F.position(F.concat(before, F.lit(" "), p, F.lit(" ")), low).alias("at")))
+        rest = lambda x: F.trim(F.regexp_extract(F.substr(low, x["at"] + F.length(before) + F.length(x["p"]) + 2), r"^([^.]*)", 1))
+        told = F.transform(F.filter(places, lambda x: x["at"] > least), lambda x: F.struct(x["p"].alias("p"), rest(x).alias("t")))
+        return F.try_element_at(F.filter(told, lambda x: (x["t"] != "") & (x["t"] != who)), F.lit(1))
 
-    return F.coalesce(F.when(who != "", found(who)), found(F.lit("")))
+    return F.coalesce(F.when(who != "", found(who, 0)), found(F.lit(""), 1))
 
 
 def described_type(claim: Column) -> Column:
@@ -124,19 +123,20 @@ def classify(claims: DataFrame) -> DataFrame:
     """
     rows = bound(claims.drop("label"), "_said", F.trim(F.coalesce("claim_text", F.lit(""))))
     rows = bound(rows, "_t", triplet(F.col("_said"), F.col("subject"), F.col("predicate"), F.col("object")))
-    rows = bound(rows, "_x", F.struct(F.lower("_said").alias("low"), F.lower("_t.p").alias("p")))
+    low = F.lower("_said")
+    rows = bound(rows, "_x", F.struct(low.alias("low"), text.squeeze(low).alias("even"), F.lower("_t.p").alias("p"), F.lower(F.coalesce("_t.s", F.lit(""))).alias("who"), F.lower("_t.o").alias("to")))
     said, s, p, o, low = F.col("_said"), F.col("_t.s"), F.col("_x.p"), F.col("_t.o"), F.col("_x.low")
     related = F.coalesce(p.isin(*v.RELATIONSHIPS), F.lit(False))
     active = low.rlike(v.any_word(ACTIVITIES))
-    unclear, sector, place, field = _has_any(low, UNCLEAR), sector_of(said), location_of(said), metadata_field(low)
+    unclear, sector, place, field = _has_any(low, UNCLEAR), sector_of(low), location_of(said, low), metadata_field(low)
     direct = related & o.isNotNull() & ~active & ~F.lower(o).isin(*_STOP)
     summary = _has_any(low, v.SUMMARIES) | low.rlike(REGULATES) | (F.coalesce(p.isin(*REGULATING), F.lit(False)) & low.rlike(v.any_word([*ACTIVITIES[:4], "system", "licensing"])))
-    verb = verb_relation(said, s)
+    verb = verb_relation(F.col("_x.even"), F.col("_x.who"))
     described = s.isNotNull() & ((low.contains(F.lower(s)) & _has_any(low, v.DESCRIPTIVE)) | _has_any(low, GENERAL))
     made = lambda *c: F.struct(*[(x if isinstance(x, Column) else F.lit(x).cast("string")).alias(n) for x, n in zip(c, FIELDS)])
     label = (
         F.when(low == "", made("UNCLASSIFIED", None, None, None, None, "empty"))
-        .when(p.isin("is", "is_a", "is_an") & entity_type_of(o).isNotNull(), made("METADATA", o, "is", "entity_type", subtype_of(said, o), "is_a"))
+        .when(p.isin("is", "is_a", "is_an") & entity_type_of(F.col("_x.to")).isNotNull(), made("METADATA", o, "is", "entity_type", subtype_of(said, o), "is_a"))
         .when(direct, made("RELATIONSHIP", o, p, None, None, "direct"))
         .when(summary, made("SUMMARY", o, F.coalesce(F.col("_t.p"), spoken_predicate(low), F.lit("describes")), None, None, "summary"))
         .when(~unclear & _has_any(low, v.ASSOCIATIONS), made("ASSOCIATION", o, F.coalesce(p, F.lit("connected_to")), None, None, "association"))

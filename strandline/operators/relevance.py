@@ -57,11 +57,10 @@ def authoritative(normalized: Column, content: Column, snippet: Column) -> Colum
     return F.coalesce(text.nonempty(normalized), text.nonempty(content), snippet, F.lit(""))
 
 
-def record_label(url: Column, body: Column, target: Column, unusable: Column) -> Column:
-    """(label, reason) of a record: DIRECT, or IRRELEVANT and why."""
-    low, name = F.lower(body), F.lower(F.trim(F.coalesce(target, F.lit(""))))
+def record_label(url: Column, low: Column, name: Column, unusable: Column) -> Column:
+    """(label, reason) of a record, from its text and target in lower case: DIRECT, or IRRELEVANT and why."""
     reason = (
-        F.when(F.coalesce(F.trim(url), F.lit("")) == "", "no_url").when(F.trim(body) == "", "empty_text").when(_has_any(low, BLOCK) | _has_any(low, ERROR), "block_or_error")
+        F.when(F.coalesce(F.trim(url), F.lit("")) == "", "no_url").when(F.trim(low) == "", "empty_text").when(_has_any(low, BLOCK) | _has_any(low, ERROR), "block_or_error")
         .when(refers(low, name), "target").when(F.coalesce(unusable, F.lit(False)), "unusable").otherwise("no_relation")
     )
     return F.struct(F.when(reason == "target", "DIRECT").otherwise("IRRELEVANT").alias("label"), reason.alias("reason"))
@@ -71,8 +70,9 @@ def label_records(evidence: DataFrame) -> DataFrame:
     """``evidence`` with body, relevance and reason. Null texts are empty ones, null targets never referred to."""
     body = authoritative(F.col("normalized_text"), F.col("content"), F.col("snippet"))
     rows = bound(evidence, "body", body)
-    label = record_label(F.col("url"), F.col("body"), F.col("entity_name"), F.upper(F.trim("evidence_status")) == "UNUSABLE")
-    return bound(rows, "_r", label).withColumn("relevance", F.col("_r.label")).withColumn("reason", F.col("_r.reason")).drop("_r")
+    rows = bound(rows, "_n", F.struct(F.lower("body").alias("low"), F.lower(F.trim(F.coalesce("entity_name", F.lit("")))).alias("name")))
+    label = record_label(F.col("url"), F.col("_n.low"), F.col("_n.name"), F.upper(F.trim("evidence_status")) == "UNUSABLE")
+    return bound(rows, "_r", label).withColumn("relevance", F.col("_r.label")).withColumn("reason", F.col("_r.reason")).drop("_r", "_n")
 
 
 def sentence_label(sentence: Column, target: Column) -> Column:
